@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import mix, pieces
+from hexloom.llm.common import mix, parallelism, pieces, written
 
 ORDERS = (2, 3, 4)
 HASHES = 3
+#: Ids and languages of the sample are broadcast up to so many rows (a few MB).
+BROADCAST_ROWS = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[k for k in range(65) if k != 39]] = 32  # digits and marks part words
@@ -89,7 +91,10 @@ def fit(labelled: DataFrame, per_language: int = 300, grams: int = 4000) -> Lang
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = labelled.where("lang is not null and doc_id is not null and text is not null")
     chosen = named.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang")
-    sample = named.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
+    chosen = written(chosen, "chosen")
+    small = chosen.count() <= BROADCAST_ROWS  # else, with very many languages, Spark joins by a shuffle
+    sample = named.select("doc_id", "lang", "text").join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"], "left_semi")
+    sample = written(sample.repartition(parallelism(labelled.sparkSession)), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
