@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised kernels; one longer text is handled alone, whole.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import buffers, components, mix, parallelism, span_hashes, written
+from hexloom.llm.common import PIECE_BYTES, buffers, components, mix, parallelism, span_hashes, written
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -109,7 +109,7 @@ class _Group:
         parts, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         n, a = len(off) - 1, 0
         while a < n:  # bounded working arrays
-            b = min(n, max(a + 1, int(np.searchsorted(off, off[a] + 2_000_000, "right")) - 1))
+            b = min(n, max(a + 1, int(np.searchsorted(off, off[a] + PIECE_BYTES, "right")) - 1))
             h, bounds = shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], words)
             parts.append(h)
             at.append(bounds[1:] + at[-1][-1])
@@ -135,7 +135,7 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
 _SETS = "doc_id long, n int, digest binary, k int, shared binary"
 
 
-def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8_000_000) -> DataFrame:
+def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4_000_000) -> DataFrame:
     """Steps 1 and 2: one row a document; ``shared`` (ordered hashes known to other sets too) once for each set of a group
     that may link, and k, how many of them are its prefix."""
     spark = docs.sparkSession

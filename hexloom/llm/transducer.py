@@ -27,7 +27,7 @@ from hexloom.llm.common import pieces, span_hashes
 LETTER, L_L, L_E, L_RV, L_ONE, NUMBER, OTHER, APOS, SPACE, WHITE, END = range(11)
 STATES = (START, IN_L, IN_N, IN_O, APO, APO_RV, APO_L, DONE, W1S, W1W, W2S, W2W) = range(12)
 HERE, BACK = 1, 2
-CHUNK, WARM = 256, 6
+CHUNK, WARM = 128, 6
 CACHE_WORDS = 1_500_000
 
 
@@ -122,7 +122,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _class(self, c: str) -> int:
         if c in "'lersvtmd ":
@@ -183,8 +183,8 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
             k = np.concatenate([self.keys, keys[new]])
             order = np.argsort(k, kind="stable")
-            self.first = np.concatenate([self.first, base + np.cumsum(count) - count])[order]
-            self.count, self.keys = np.concatenate([self.count, count])[order], k[order]
+            self.first = np.concatenate([self.first, (base + np.cumsum(count) - count).astype(np.int32)])[order]
+            self.count, self.keys = np.concatenate([self.count, count.astype(np.int32)])[order], k[order]
         return np.searchsorted(self.keys, keys)[back], bounds
 
     def has_special(self, data: bytes) -> bool:
@@ -203,7 +203,7 @@ class Encoder:
         found = [np.zeros(0, np.int64)]
         for _, _, raw, off in pieces(column):
             rows, bounds = self.words(raw, off)
-            total = np.concatenate([[0], np.cumsum(self.count[rows])])
+            total = np.concatenate([[0], np.cumsum(self.count[rows], dtype=np.int64)])
             n = total[bounds[1:]] - total[bounds[:-1]]
             for k, ids in self._by_hand(raw, off).items():
                 n[k] = len(ids)
@@ -214,7 +214,7 @@ class Encoder:
         """(first row, ids, offsets of the ids of each text) for runs of texts."""
         for a, _, raw, off in pieces(column):
             rows, bounds = self.words(raw, off)
-            count, first = self.count[rows], self.first[rows]
+            count, first = self.count[rows].astype(np.int64), self.first[rows].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(count)])
             ids = self.ids[np.arange(total[-1]) + np.repeat(first - total[:-1], count)].astype(np.uint32)
             at = total[bounds]
