@@ -23,11 +23,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, one row of it; documents without words stay."""
+    """Keeps the document with the smallest id of each group, one row of it; documents without words stay.
+
+    Rows are told apart by id and text: a repeated id with another text is another document. Documents without an id go if
+    one with an id is near; else they stay.
+    """
     found = jaccard.similarity_components(docs)
-    first = found.where("doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = found.where("doc_id <=> component_id or n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.select(*COLUMNS).join(first, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

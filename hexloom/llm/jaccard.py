@@ -132,14 +132,14 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
     return np.where(df < 2, 1, np.minimum(255, 2 + np.floor(8 * np.log2(np.maximum(df, 2) / 2)))).astype(np.uint8)
 
 
-_SETS = "doc_id long, n int, digest binary, k int, shared binary"
+_SETS = "doc_id long, text_hash long, n int, digest binary, k int, shared binary"
 
 
 def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4_000_000) -> DataFrame:
     """Steps 1 and 2: one row a document; ``shared`` (ordered hashes known to other sets too) once for each set of a group
     that may link, and k, how many of them are its prefix."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(parallelism(spark), -(-size // group_bytes))
     ranges = max(parallelism(spark), groups // 4)
@@ -178,7 +178,7 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_
                     found = left_over, h[np.lexsort((h, c))].tobytes()
             k.append(found and found[0])
             shared.append(found and found[1])
-        return pa.table([g.ids, pa.array(n, pa.int32()), pa.array(g.digest, pa.binary()), pa.array(k, pa.int32()), pa.array(shared, pa.binary())], ["doc_id", "n", "digest", "k", "shared"])
+        return pa.table([g.ids, left.column("text_hash"), pa.array(n, pa.int32()), pa.array(g.digest, pa.binary()), pa.array(k, pa.int32()), pa.array(shared, pa.binary())], ["doc_id", "text_hash", "n", "digest", "k", "shared"])
 
     sent = own.groupBy("gid").applyInArrow(request, "gid int, part int, codes binary, counts binary")
     back = sent.groupBy("part").applyInArrow(count, "gid int, part int, classes binary")
@@ -337,7 +337,7 @@ def _links_of(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: texts whose shingle sets have a Jaccard likeness of ``percent`` /
+    """(doc_id, n_shingles, component_id, text_hash) of every row: texts whose shingle sets have a Jaccard likeness of ``percent`` /
     100 or more are linked; component_id is the smallest id reachable.
 
     Null, empty and blank texts have 0 shingles and link with nothing: component_id is their own id. Texts of fewer
@@ -373,5 +373,5 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 75, ch
     classes = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ends = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(classes.join(ends, "root").select("digest", "component_id"), "classes")
-    out = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.select("doc_id", "text_hash", "n", "digest").join(classes, "digest", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")

@@ -61,7 +61,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+    return jaccard.similarity_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
