@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import parallelism
+from hexloom.llm.common import parallelism, written
 
 PART = 32
 
@@ -56,7 +56,9 @@ def replicate(docs: DataFrame, targets: dict[str, float] | None = None, temper:
     """
     docs = docs.drop("copy", "rate", "mix_key")
     columns = docs.columns
-    r = rates(docs, targets, temper).select(F.col("source").alias("_source"), F.col("rate"), F.col("parts").alias("_parts"), F.col("below").alias("_below"))
+    # written, so that Spark knows its size when it plans: small tables of sources are broadcast and the texts stay in
+    # place; large ones are joined by a shuffle, where Spark splits a hot source
+    r = written(rates(docs, targets, temper), "rates").select(F.col("source").alias("_source"), F.col("rate"), F.col("parts").alias("_parts"), F.col("below").alias("_below"))
     d = docs.join(r, docs["source"].eqNullSafe(r["_source"]))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
 
