@@ -31,10 +31,10 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temper: floa
         weight = F.pow(F.col("size"), F.lit(temper))
     else:
         weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("source")), F.lit(0.0))
-    weighed = size.withColumn("w", weight)
-    total = weighed.agg(F.sum("size").alias("all"), F.sum("w").alias("all_w"))  # one row
-    rate = F.when((F.col("size") > 0) & (F.col("all_w") > 0), F.col("w") / F.col("all_w") * F.col("all") / F.col("size")).otherwise(F.lit(1.0))
-    r = weighed.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))
+    weighed = written(size.withColumn("w", weight), "sizes")  # a row for each source: texts are read once for all that follows
+    total, total_w = (weighed.agg(F.sum(c)).scalar() for c in ("size", "w"))
+    rate = F.when((F.col("size") > 0) & (total_w > 0), F.col("w") / total_w * total / F.col("size")).otherwise(F.lit(1.0))
+    r = weighed.select("source", rate.alias("rate"))
     r = r.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     steps = F.sequence(F.lit(1), F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 20).cast("int"))
     start = F.struct(F.exp(-F.col("mean")).alias("p"), F.exp(-F.col("mean")).alias("c"), F.array(F.exp(-F.col("mean"))).alias("table"))
