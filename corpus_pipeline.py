@@ -23,13 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, one row of it; documents without words stay.
+    """Keeps one document of each group: the one with the smallest id; documents without words stay.
 
-    Rows are told apart by id and text: a repeated id with another text is another document. Documents without an id go if
-    one with an id is near; else they stay.
+    Rows are told apart by id and text. In a group a null id ranks after all others, and of several texts of one id
+    the one with the smallest hash stays. Repeated rows of what stays are one document.
     """
-    found = jaccard.similarity_components(docs)
-    first = found.where("doc_id <=> component_id or n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    found = jaccard.similarity_classes(docs)
+    alone = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.groupBy(F.coalesce("class_key", alone.cast("binary")).alias("key")).agg(F.min(rank).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     return docs.select(*COLUMNS).join(first, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 

@@ -337,12 +337,18 @@ def _links_of(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_hash) of every row: texts whose shingle sets have a Jaccard likeness of ``percent`` /
+    """:func:`similarity_classes` without class_key."""
+    return similarity_classes(docs, words, percent, chunk, id_col, text_col).drop("class_key")
+
+
+def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_hash, class_key) of every row: texts whose shingle sets have a Jaccard likeness of ``percent`` /
     100 or more are linked; component_id is the smallest id reachable.
 
     Null, empty and blank texts have 0 shingles and link with nothing: component_id is their own id. Texts of fewer
     words than ``words`` are one shingle. Repeated rows give repeated results; a null id takes part and ranks after all
-    others (a component of null ids only has a null id). An empty table gives an empty table; other columns are not read.
+    others (a component of null ids only has a null id). class_key names a component even where ids are null or repeated;
+    it is null for rows without shingles. An empty table gives an empty table; other columns are not read.
     """
     sets = written(document_sets(docs, words, percent, id_col, text_col), "sets")
     family = candidate_families(sets)
@@ -372,6 +378,6 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 75, ch
     roots = components(links, "classes").select(F.col("v").alias("digest"), "root")
     classes = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ends = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(classes.join(ends, "root").select("digest", "component_id"), "classes")
+    classes = written(classes.join(ends, "root").select("digest", "component_id", F.col("root").alias("class_key")), "classes")
     out = sets.select("doc_id", "text_hash", "n", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "class_key")

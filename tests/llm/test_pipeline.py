@@ -48,3 +48,12 @@ def test_run(spark, data):
     out = corpus_pipeline.run(spark, data)
     total = out.agg(F.sum("length"), F.count_distinct("sequence_id"), F.max(F.col("offset") + F.col("length"))).first()
     assert total[2] <= 1024 and total[1] <= -(-total[0] // 1024) * 1.05 + 1
+
+
+def test_one_of_each_group_stays(spark):
+    """Also where ids are null or repeated; a group of its own without words stays."""
+    said = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcd"]
+    rows = [(None, said[0]), (None, said[0] + " end"), (1, said[1]), (1, said[1] + " end"), (None, said[2]), (7, said[2] + " end"), (9, said[2]), (3, said[3]), (3, said[3]), (4, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(("null" if r.doc_id is None else str(r.doc_id)) for r in got) == ["1", "3", "4", "4", "5", "7", "null"]
