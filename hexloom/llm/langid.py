@@ -25,6 +25,8 @@ ORDERS = (2, 3, 4)
 HASHES = 3
 #: Ids and languages of the sample are broadcast up to so many rows (a few MB).
 BROADCAST_ROWS = 100_000
+#: Parts that the sample is first taken from; the last choice reads at most so many samples of a language.
+SAMPLE_PARTS = 64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[k for k in range(65) if k != 39]] = 32  # digits and marks part words
@@ -88,9 +90,13 @@ class LanguageFilter:
 
 def fit(labelled: DataFrame, per_language: int = 300, grams: int = 4000) -> LanguageFilter:
     """The filter of ``labelled`` (id, text, lang): a bounded sample of each language by the hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
     named = labelled.where("lang is not null and doc_id is not null and text is not null")
-    chosen = named.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang")
+    # first among the tasks of a part, then among the parts: what meets in one task for a language doesn't grow with the data
+    chosen = named.select("doc_id", "lang", (F.spark_partition_id() % SAMPLE_PARTS).alias("part"))
+    for keys in (["part"], []):
+        chosen = chosen.withColumn("k", order(*keys)).where(F.col("k") <= per_language).drop("k")
+    chosen = chosen.select("doc_id", "lang")
     chosen = written(chosen, "chosen")
     small = chosen.count() <= BROADCAST_ROWS  # else, with very many languages, Spark joins by a shuffle
     sample = named.select("doc_id", "lang", "text").join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"], "left_semi")
