@@ -1,8 +1,11 @@
 """License scans by sparse TF-IDF cosine and directory inheritance, in DataFrame operations only (operator 8).
 
-Lines that may state a licence become sparse TF-IDF vectors, joined term by term to the vectors of known statements (a fixed
-table of a few hundred terms); a line's best cosine names its licence. A path without one of its own takes that of
-the nearest directory above that has one: directories, not files, are joined to their ancestors.
+Runs of terms that may state a licence become sparse TF-IDF vectors, held against the vectors of known statements, headers,
+licence texts and titles; the best cosine names the licence. A run is a whole line, or as many terms as the statement has, laid
+at the word both share ('license', 'permission', ...): so a statement is found inside a longer line and across line ends.
+A run must have the terms that tell a licence from others, as 'mit' or 'lesser'. SPDX identifiers are read as they stand.
+A path without a licence of its own takes that of the nearest directory above that has one: directories, not files, are joined
+to their ancestors.
 """
 
 from __future__ import annotations
@@ -28,37 +31,119 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+#: Further statements, titles and whole texts: (licence, terms it needs, terms that none of the next FORWARD terms may be, text).
+MORE = [
+    ("AGPL-3.0", "affero 3", "", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "affero 3", "", _GPL.format("Affero General Public License", "3")),
+    ("AGPL-3.0", "affero 3", "", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "apache 2", "", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", "bsd 2 clause", "", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "redistribution binary reproduce", "neither", _BSD),
+    ("BSD-3-Clause", "bsd 3 clause", "", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "redistribution binary reproduce neither", "", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "boost 1", "", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC-BY-NC-ND-4.0", "attribution noncommercial noderivatives 4", "", _CC.format("Attribution-NonCommercial-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", "attribution noncommercial sharealike 4", "", _CC.format("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-ND-4.0", "attribution noderivatives 4", "", _CC.format("Attribution-NoDerivatives")),
+    ("CC-BY-SA-4.0", "attribution sharealike 4", "", _CC.format("Attribution-ShareAlike")),
+    ("GPL-2.0", "gnu general 2", "", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "gnu general 2", "", _GPL.format("General Public License", "2")),
+    ("GPL-2.0", "gnu general 2", "", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "gnu general 3", "", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "isc", "", "Released under the ISC License."),
+    ("ISC", "permission fee", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "lesser 2 1", "", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "lesser 2 1", "", _GPL.format("Lesser General Public License", "2.1")),
+    ("LGPL-2.1", "lesser 2 1", "", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "lesser 3", "", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "lesser 3", "", _GPL.format("Lesser General Public License", "3")),
+    ("LGPL-3.0", "lesser 3", "", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "mit", "", "Licensed under the MIT License."),
+    ("MIT", "permission charge sublicense", "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "mozilla 2", "", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "unencumbered domain", "", "This is free and unencumbered software released into the public domain."),
+]
+#: The terms that TEMPLATES need; a sentence that two licences share names one only where none of its clauses follow.
+NEEDS = ["apache 2", "apache 2", "redistribution binary", "attribution 4", "cc nc 4", "attribution noncommercial 4", "gnu general 3", "gnu general 3", "mit", "permission charge", "mozilla 2"]
+AVOIDS = {2: "reproduce"}
+ANCHOR = "^(licen[cs]e.*|permission|redistribution|unencumbered)$"
+MAY_STATE = "(?i)licen[cs]e|copyright|spdx|redistribution|permission|unencumbered"
+BACK, FORWARD = 48, 192
+SPDX = r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)"
 HINT = "(?i)licen[cs]e|copyright|spdx|redistribution|permission is hereby"
 
 
-def template_terms() -> tuple[list[tuple[int, str, str, float, float]], float]:
+def template_terms(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, str, float, float]], float]:
     """(template, licence, term, idf, unit weight), and the idf of terms that no template has."""
-    terms = [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
+    terms = [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
     n = len(terms)
     df = Counter(t for c in terms for t in c)
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
     out = []
     for k, c in enumerate(terms):
         norm = math.sqrt(sum((v * idf[t]) ** 2 for t, v in c.items()))
-        out += [(k, TEMPLATES[k][0], t, idf[t], c[t] * idf[t] / norm) for t in sorted(c)]
+        out += [(k, templates[k][0], t, idf[t], c[t] * idf[t] / norm) for t in sorted(c)]
     return out, math.log(1 + n) + 1
 
 
+def statements() -> tuple[list[tuple], dict[str, float], float]:
+    """(template, licence, needs, avoids, weights, length, anchors with their places) of all known statements, idf, idf of others."""
+    every = [(lic, NEEDS[k], AVOIDS.get(k, ""), text) for k, (lic, text) in enumerate(TEMPLATES)] + MORE
+    rows, unseen = template_terms([(lic, text) for lic, _, _, text in every])
+    weights: list[dict[str, float]] = [{} for _ in every]
+    for k, _, t, _, w in rows:
+        weights[k][t] = w
+    out = []
+    for k, (lic, needs, avoids, text) in enumerate(every):
+        terms = re.findall("[a-z0-9]+", text.lower())
+        out.append((k, lic, needs.split(), avoids.split(), weights[k], len(terms), [(t, i) for i, t in enumerate(terms) if re.match(ANCHOR, t)]))
+    return out, {t: w for _, _, t, w, _ in rows}, unseen
+
+
+def _terms(text: str) -> F.Column:
+    return F.expr(f"regexp_extract_all(lower({text}), '[a-z0-9]+', 0)")
+
+
 def scan(files: DataFrame, least: float = 0.5) -> DataFrame:
-    """(path, own_license, own_score) of the paths whose text states a licence: the best line's cosine, rounded to six
-    decimals; ties go to the licence that comes first by name."""
+    """(path, own_license, own_score) of the paths whose text states a licence: the best cosine of its runs of terms, rounded to
+    six decimals, or 1 for an SPDX identifier (without '-only' and '-or-later'); ties go to the licence that comes first by name."""
     spark: SparkSession = files.sparkSession
-    rows, unseen = template_terms()
-    known = spark.createDataFrame([tuple(r) for r in rows], "template int, license string, term string, idf double, weight double")
-    idf = known.select("term", "idf").distinct()
-    lines = files.where(F.col("text").rlike(HINT)).select("path", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(HINT))
-    terms = lines.select("path", "line", F.explode(F.expr("regexp_extract_all(lower(said), '[a-z0-9]+', 0)")).alias("term"))
-    tf = terms.groupBy("path", "line", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("path", "line")))
-    unit = tf.withColumn("norm", norm).join(F.broadcast(known.drop("idf")), "term")
-    cosine = unit.groupBy("path", "line", "template", "license").agg((F.sum(F.col("v") * F.col("weight")) / F.first("norm")).alias("c"))
-    score = F.round("c", 6)
-    best = cosine.withColumn("c", score).where(F.col("c") >= least).groupBy("path").agg(F.min(F.struct((-F.col("c")).alias("c"), "license")).alias("b"))
+    known, idf, unseen = statements()
+    table = spark.createDataFrame(known, "template int, license string, needs array<string>, avoids array<string>, weights map<string,double>, length int, anchors array<struct<term:string,place:int>>")
+    idf = F.create_map(*[F.lit(x) for t in idf.items() for x in t])
+    some = files.where(F.col("text").rlike(MAY_STATE))
+
+    # the surroundings of every word that a statement can be laid at
+    words = some.select("path", _terms("text").alias("terms"))
+    around = lambda t, i: F.when(t.rlike(ANCHOR), F.struct(t.alias("term"), F.least(i, F.lit(BACK)).alias("at"), F.greatest(i - BACK, F.lit(0)).alias("start")))
+    spots = F.filter(F.transform("terms", around), lambda s: s.isNotNull())
+    near = words.select("path", F.explode(F.transform(spots, lambda s: F.struct(s["term"].alias("term"), s["at"].alias("at"), F.slice("terms", s["start"] + 1, BACK + FORWARD).alias("near")))).alias("s")).select("path", "s.*")
+    laid = table.select("license", "needs", "avoids", "weights", "length", F.inline("anchors"))
+    run = F.slice("near", F.greatest(F.col("at") - F.col("place"), F.lit(0)) + 1, F.col("length"))
+    ahead = F.slice("near", F.col("at") + 1, F.lit(FORWARD))
+    inside = near.join(F.broadcast(laid), "term").where(~F.arrays_overlap(ahead, "avoids")).select("path", "license", "needs", "weights", run.alias("run"))
+
+    lines = some.select("path", F.explode(F.split("text", "\n")).alias("said")).where(F.col("said").rlike(MAY_STATE)).select("path", _terms("said").alias("run"))
+    whole = lines.join(F.broadcast(table.where(F.size("avoids") == 0)), F.size(F.array_except("needs", "run")) == 0).select("path", "license", "needs", "weights", "run")
+
+    runs = inside.unionAll(whole).where(F.size(F.array_except("needs", "run")) == 0)
+    tf = F.transform(F.array_distinct("run"), lambda t: F.struct(F.coalesce(F.element_at("weights", t), F.lit(0.0)).alias("w"), (F.size(F.filter("run", lambda x: x == t)) * F.coalesce(F.element_at(idf, t), F.lit(unseen))).alias("v")))
+    total = lambda f: F.aggregate("tf", F.lit(0.0), lambda acc, x: acc + f(x))
+    score = F.round(total(lambda x: x["v"] * x["w"]) / F.sqrt(total(lambda x: x["v"] * x["v"])), 6)
+    scored = runs.withColumn("tf", tf).select("path", "license", score.alias("c")).where(F.col("c") >= least)
+
+    # SPDX expressions: every identifier but those of exceptions
+    names = {lic.lower(): lic for _, lic, *_ in known}
+    names = F.create_map(*[F.lit(x) for n in names.items() for x in n])
+    stated = some.select("path", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("said"))
+    stated = stated.select("path", F.explode(F.regexp_extract_all(F.regexp_replace("said", r"(?i)\bwith\s+\S+", ""), F.lit(r"(?<![^\s(])([A-Za-z][A-Za-z0-9.+-]*)(?=[\s)]|$)"), F.lit(1))).alias("id")).where(~F.lower("id").isin("and", "or", "none", "noassertion"))
+    bare = F.regexp_replace("id", r"(?i)(-only|-or-later|\+)$", "")
+    spdx = stated.select("path", F.coalesce(F.element_at(names, F.lower(bare)), bare).alias("license"), F.lit(1.0).alias("c"))
+
+    best = scored.unionAll(spdx).groupBy("path").agg(F.min(F.struct((-F.col("c")).alias("c"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_score"))
 
 

@@ -169,6 +169,25 @@ def test_license_inheritance(spark):
     assert got["q/w.txt"] == (None, "MIT", "") and got["a/z.txt"] == ("GPL-3.0", "GPL-3.0", "a/z.txt")
 
 
+def test_license_statements(spark):
+    """SPDX identifiers, statements inside longer lines and across line ends, licence texts, and licences that are not known."""
+    prose = "as everyone who was there on that long and rainy day in the old town by the sea will surely remember"
+    bsd = license._BSD
+    texts = {
+        "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: apache-2.0 */": "Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later\nint x;": "GPL-3.0",
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) */": "GPL-2.0", "SPDX-License-Identifier: Zlib": "Zlib",
+        f"{prose} Released under the MIT License. {prose}": "MIT", f"{prose} Licensed under the Apache License, Version 2.0. {prose}": "Apache-2.0",
+        f"{prose}\n * Licensed under the Apache\n * License, Version\n * 2.0.\n{prose}": "Apache-2.0", "This work is licensed under the GNU Lesser\nGeneral Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "Released under the ISC License.": "ISC",
+        license.MORE[1][3]: "AGPL-3.0", "Copyright X\n\n" + "\n".join(bsd.split(": ")): "BSD-2-Clause", bsd + license.MORE[7][3][len(bsd) :]: "BSD-3-Clause", license.MORE[18][3]: "ISC",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.": "BSD-3-Clause", license._CC.format("Attribution-ShareAlike"): "CC-BY-SA-4.0",
+        "Released under the Foo License.": None, "Licensed under the Apache License, Version 1.1.": None, f"your license to drive is lost {prose}": None, "This work is licensed under the GNU General Public License, version 1.": None,
+    }
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = {r.path: r.own_license for r in license.scan(df).collect()}
+    assert {t: got.get(str(k)) for k, t in enumerate(texts)} == texts
+
+
 def test_licenses_of_odd_rows(odd, odd_rows, none):
     assert license.scan_documents(odd).count() == len(odd_rows)
     assert license.scan_documents(none).count() == 0
