@@ -14,6 +14,9 @@
    resolved in random chunks twice, then only members outside the largest component are probed against all the rest, in
    blocks. Every link between components is thus looked for exactly; none is sampled.
 5. Components of the links give each document the smallest id reachable.
+
+Where the number of links is asked for, no probe is skipped: step 4 becomes one pass in which every distinct set is held against
+all of its family, in pairs of blocks beyond ``chunk`` members, and each hit weighs as many documents as have that set.
 """
 
 from __future__ import annotations
@@ -290,6 +293,68 @@ def resolve(sets: list[np.ndarray], n: np.ndarray, percent: int, label: np.ndarr
     return out
 
 
+def count_links(sets: list[np.ndarray], n: np.ndarray, k: np.ndarray, weight: np.ndarray, percent: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of the members and the weight of all others that each links with; if there are two sides, of those on the other one.
+
+    sets: shared hashes of each member, its prefix of k first; n: full sizes.
+    """
+    m = len(sets)
+    by = np.argsort(n, kind="stable")
+    n, k, weight, side = n[by], k[by], weight[by], side[by]
+    two = side.min() != side.max()
+    lens = np.array([len(sets[i]) for i in by])
+    _, ids = np.unique(np.concatenate([sets[i] for i in by]), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(lens)])
+    owner = np.repeat(np.arange(m), lens)
+    order = np.argsort(ids, kind="stable")  # inverted lists, members in order of size
+    lists = owner[order]
+    spot = lists + ids[order] * m
+
+    def tally(keys: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        a, b = np.searchsorted(spot, keys * m + lo), np.searchsorted(spot, keys * m + hi)
+        size = b - a
+        take = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(lists[take], minlength=m)
+
+    comp, links = np.arange(m), np.zeros(m, np.int64)
+    todo = side == side.min()
+    full: tuple[np.ndarray, np.ndarray, int, int] | None = None  # the last answer that holds every member of its sizes
+    linked = np.zeros(0, np.int64)
+    for _ in range(int(todo.sum())):
+        near = linked[todo[linked]]
+        p = int(near[overlap[near].argmax()]) if len(near) else int(todo.argmax())
+        todo[p] = False
+        lo, hi = int(np.searchsorted(n * 100, n[p] * percent)), int(np.searchsorted(n * percent, n[p] * 100, "right"))
+        mine = ids[at[p] : at[p + 1]]
+        overlap = None
+        if full is not None and full[2] <= lo and hi <= full[3]:
+            gone, new = np.setdiff1d(full[0], mine, assume_unique=True), np.setdiff1d(mine, full[0], assume_unique=True)
+            if len(gone) + len(new) < len(mine) // 2:
+                overlap = full[1] - tally(gone, full[2], full[3]) + tally(new, full[2], full[3])
+                full = mine, overlap, full[2], full[3]
+        if overlap is None:
+            found = np.flatnonzero(tally(mine[: k[p]], lo, hi))
+            if int(lens[found].sum()) * 4 < len(mine) * (hi - lo):  # few share the prefix: only those are counted
+                of = np.repeat(found, lens[found])
+                take = np.repeat(at[found] - (np.cumsum(lens[found]) - lens[found]), lens[found]) + np.arange(len(of))
+                overlap = np.bincount(of[np.isin(ids[take], mine)], minlength=m)
+            else:  # some more sizes, for the answers derived from this one
+                wide = int(np.searchsorted(n * 1000, n[p] * percent * 9)), int(np.searchsorted(n * percent * 10, n[p] * 1100, "right"))
+                overlap = tally(mine, *wide)
+                full = mine, overlap, *wide
+        linked = np.arange(lo, hi)[(100 + percent) * overlap[lo:hi] >= percent * (n[p] + n[lo:hi])]
+        hit = linked[(side[linked] != side[p]) if two else (linked != p)]
+        links[p] += weight[hit].sum()
+        if two:
+            links[hit] += weight[p]
+        names = np.unique(np.append(comp[linked], comp[p]))
+        if len(names) > 1:
+            comp[np.isin(comp, names)] = names[0]
+    labels, counts = np.empty(m, np.int64), np.empty(m, np.int64)
+    labels[by], counts[by] = comp, links
+    return labels, counts
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, of batches in the order of the keys."""
     held: list[pa.RecordBatch] = []
@@ -336,6 +401,52 @@ def _links_of(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return dealt.select(*keys, "digest", "n", "shared", "known", "probe").mapInArrow(links, "a binary, b binary")
 
 
+def _counted_links(members: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(a, b, n_links): for each member its links with others, and the smallest member of its component, of a family's pair of blocks."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, ["root", "i", "j"]):
+            rows = {r[0]: r[1:] for r in zip(*(table.column(c).to_pylist() for c in ("digest", "n", "shared", "k", "copies", "block")), strict=True)}
+            if len(rows) < 2:
+                continue
+            n, shared, k, copies, block = zip(*rows.values(), strict=True)
+            if table.column("i")[0] != table.column("j")[0] and min(block) == max(block):
+                continue  # the other block is empty
+            comp, count = count_links([np.frombuffer(s, np.uint64) for s in shared], *(np.array(x, np.int64) for x in (n, k, copies)), percent, np.array(block, np.int64))
+            first: dict[int, bytes] = {}
+            for d, c in zip(rows, comp, strict=True):
+                first[c] = min(d, first.get(c, d))
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([first[c] for c in comp], pa.binary()), pa.array(count)], ["a", "b", "n_links"])
+
+    blocks = F.ceil(F.col("size") / chunk).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    keys = ["root", "i", "j"]
+    dealt = dealt.repartition(parallelism(members.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "digest", "n", "shared", "k", "copies", "block").mapInArrow(links, "a binary, b binary, n_links long")
+
+
+def similarity_links(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_hash, n_links): as :func:`similarity_components`, and with how many other rows each
+    row is linked, its exact copies among them; rows without shingles have no links."""
+    sets = written(document_sets(docs, words, percent, id_col, text_col), "sets")
+    family = candidate_families(sets)
+    copies = sets.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    copies = written(copies.withColumn("v", _label()), "copies")
+    sizes = family.groupBy("root").agg(F.count("*").alias("size"))
+    family = written(family.join(sizes, "root").where("size > 1").join(copies.drop("least"), "v"), "families")
+    able = sets.where("shared is not null").select("digest", "n", "shared", "k").join(family, "digest")
+    links = written(_counted_links(able, percent, chunk), "links")
+    counts = links.groupBy(F.col("a").alias("digest")).agg(F.sum("n_links").alias("others"))
+    roots = components(links.select("a", "b"), "classes").select(F.col("v").alias("digest"), "root")
+    classes = copies.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    ends = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = classes.join(ends, "root").join(counts, "digest", "left")
+    classes = written(classes.select("digest", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "classes")
+    out = sets.select("doc_id", "text_hash", "n", "digest").join(classes, "digest", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`similarity_classes` without class_key."""
     return similarity_classes(docs, words, percent, chunk, id_col, text_col).drop("class_key")

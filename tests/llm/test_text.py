@@ -267,3 +267,31 @@ def test_resolve_is_brute_force():
                     old, new = max(up[a], up[b]), min(up[a], up[b])
                     up = [new if x == old else x for x in up]
         assert len(set(zip(got, up, strict=True))) == len(set(up)) == len(set(got))
+
+
+@pytest.mark.parametrize("chunk", [4096, 6])
+def test_jaccard_counts_every_link(spark, chunk):
+    """Near copies and exact ones in one family, null and repeated ids; small chunks take the way of large families."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(900)])
+    texts = [None, "", "two words", "Two  words"]
+    for _ in range(3):
+        base = rng.choice(words, 70)
+        passage = rng.choice(words, 25)
+        for _ in range(14):
+            copy = base.copy()
+            copy[rng.integers(0, 70, rng.integers(0, 4))] = rng.choice(words)
+            texts += [" ".join(copy)] * int(rng.integers(1, 4))
+            texts.append(" ".join([*rng.choice(words, 15), *passage, *rng.choice(words, int(rng.integers(0, 9)))]))
+    rows = [(None if i % 19 == 0 else i - i % 2 if i % 17 == 0 else i, t) for i, t in enumerate(texts)]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    want = Counter()
+    for a, (doc, _) in enumerate(rows):
+        both = [len(sets[a] & s) for s in sets]
+        want[(doc, len(sets[a]), sum(b != a and 100 * both[b] >= 75 * (len(sets[a]) + len(s) - both[b]) for b, s in enumerate(sets) if sets[a] and s))] += 1
+    got = jaccard.similarity_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk=chunk).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes_by_force(rows)
