@@ -2,7 +2,9 @@
 
 Words are hashed, k of them in a row give a rolling polynomial hash, and the smallest hash of every window of w hashes is
 kept with its position, the rightmost of equal ones. Any run of k + w - 1 words that two texts share leaves a shared
-hash in both. A text of fewer words has one hash of all its words; a text of none, an empty fingerprint.
+hash in both. A word beyond LONG code points counts as its code points, one by one, so a text without blanks is no single word.
+Words are too sparse for short texts, so by length in code points these have further hashes, of runs of code points (SHORT): an edited
+text, which is never longer than its own, has at least the same kinds. A text of no words has an empty fingerprint.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from hexloom.llm.common import parallelism
 
 PRIME, BASE = 2147483629, 1000003
 POSITIONS = 2**31
+LONG = 24
+#: Below so many code points: runs of so many code points, the smallest of so many of them.
+SHORT = [(400, 5, 4), (24, 2, 1)]
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -25,7 +30,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def winnow(text: Column, k: int = 3, w: int = 6) -> Column:
     """array<long> of hash * 2^31 + (2^31 - 1 - position), by position; null counts as the empty text."""
-    hashes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \t-\r]+"), lambda x: x != ""), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(text, "[ \t-\r]+"), lambda x: x != "")
+    parts = F.flatten(F.transform(words, lambda x: F.when(F.length(x) > LONG, F.split(x, "")).otherwise(F.array(x))))
+    words = F.when(text.rlike(f"[^ \t-\r]{{{LONG + 1}}}"), F.filter(parts, lambda x: x != "")).otherwise(words)
+    hashes = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
 
     def gram(h: Column, i: Column) -> Column:
         acc = h[i]
@@ -40,19 +49,33 @@ def winnow(text: Column, k: int = 3, w: int = 6) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: gram(h, i))
         return F.when(F.size(h) >= k, many).when(F.size(h) > 0, short(h)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    def minima(g: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, w))))
+    return let(hashes, lambda h: let(grams(h), lambda g: F.when(F.size(g) > 0, minima(g, w)).otherwise(g)))
 
-    return let(hashes, lambda h: let(grams(h), lambda g: F.when(F.size(g) > 0, minima(g)).otherwise(g)))
+
+def minima(g: Column, w: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, w))))
+
+
+def short_winnow(text: Column) -> Column:
+    """array<long> as of :func:`winnow`, of runs of code points: for texts of words below the lengths of SHORT, else empty."""
+    text = F.coalesce(text, F.lit(""))
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def runs(least: int, k: int, w: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(text) - k, F.lit(0)))
+        hashes = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(k), F.substring(text, i + 1, F.lit(k))), F.lit(PRIME)) * POSITIONS + (POSITIONS - 1 - i))
+        return F.when(F.length(text) < least, let(hashes, lambda g: minima(g, w))).otherwise(none)
+
+    return F.when((F.length(text) < SHORT[0][0]) & text.rlike("[^ \t-\r]"), F.concat(*[runs(*x) for x in SHORT])).otherwise(none)
 
 
 def hashes_of(selected: Column) -> Column:
     return F.array_distinct(F.transform(selected, lambda x: F.shiftright(x, 31)))
 
 
-def as_text(selected: Column) -> Column:
+def as_text(selected: Column, mark: str = "@") -> Column:
     """``hash@position`` of each selected hash, in hexadecimal and decimal."""
-    return F.concat_ws(" ", F.transform(selected, lambda x: F.concat(F.lower(F.hex(F.shiftright(x, 31))), F.lit("@"), (POSITIONS - 1 - F.pmod(x, F.lit(POSITIONS))).cast("string"))))
+    return F.concat_ws(" ", F.transform(selected, lambda x: F.concat(F.lower(F.hex(F.shiftright(x, 31))), F.lit(mark), (POSITIONS - 1 - F.pmod(x, F.lit(POSITIONS))).cast("string"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,14 +119,19 @@ def fingerprints(docs: DataFrame, k: int = 3, w: int = 6) -> DataFrame:
 
     The edited text: the last third of the code points replaced by the first as many (or all) of the next row's text,
     by descending doc_id. Null texts are empty; null ids come last; rows of one id are ordered by text; a single row is its
-    own next; an empty table gives an empty table; other columns are not read.
+    own next; an empty table gives an empty table; other columns are not read. Hashes of words are given as ``hash@word``, those
+    of short texts' code points behind them as ``hash@c`` and the code point; likenesses are of both.
     """
     d = with_next(docs)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), winnow(F.col("text"), k, w).alias("own"), winnow(F.col("next_text"), k, w).alias("next"))
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next", winnow(F.col("edited"), k, w).alias("changed"))
-    sets = let(F.struct(hashes_of(F.col("own")).alias("a"), hashes_of(F.col("changed")).alias("b"), hashes_of(F.col("next")).alias("c")), lambda s: F.struct(likeness(s["a"], s["b"]).alias("edited"), likeness(s["a"], s["c"]).alias("next")))
+    texts = {"own": F.col("text"), "next": F.col("next_text"), "changed": F.col("edited")}
+    prints = lambda name: [winnow(texts[name], k, w).alias(name), short_winnow(texts[name]).alias(f"{name}_c")]
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), *prints("own"), *prints("next"))
+    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "own_c", "next", "next_c", *prints("changed"))
+    every = lambda name: hashes_of(F.concat(name, f"{name}_c"))
+    sets = let(F.struct(every("own").alias("a"), every("changed").alias("b"), every("next").alias("c")), lambda s: F.struct(likeness(s["a"], s["b"]).alias("edited"), likeness(s["a"], s["c"]).alias("next")))
     d = d.withColumn("near", sets)
-    return d.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), F.col("near")["edited"].alias("near_edited"), F.col("near")["next"].alias("near_next"))
+    shown = lambda name: F.concat_ws(" ", *[F.when(F.size(c) > 0, as_text(F.col(c), m)) for c, m in ((name, "@"), (f"{name}_c", "@c"))])
+    return d.select("doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), F.col("near")["edited"].alias("near_edited"), F.col("near")["next"].alias("near_next"))

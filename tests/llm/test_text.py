@@ -138,6 +138,19 @@ def test_fingerprints_of_odd_rows(odd, odd_rows, none):
     assert all(len(p) == 1 for p in prints.values()) and prints[""] == {""}
 
 
+def test_short_and_unbroken_texts_are_like_their_edit(spark):
+    """Two thirds of each text stay in its edit: of few words, of few blanks, and of none."""
+    rng = np.random.default_rng(4)
+    cjk = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 9000, n))
+    prose = [" ".join("".join(chr(97 + int(x)) for x in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(n)) for n in [*range(1, 31), 60, 90, 200]]
+    texts = [t for t in prose if len(t) > 1] + [cjk(n) for n in (2, 3, 9, 23, 24, 36, 37, 300, 399, 400, 6000)] + ["".join(f"{x:02x}" for x in rng.integers(0, 256, 700)), "。 ".join(cjk(80) for _ in range(9)), "ab cd", "a b"]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in winnow.fingerprints(df).collect()}
+    assert [t for i, t in enumerate(texts) if not got[i].near_edited > 0] == []
+    assert all(len(got[i].fingerprint.split()) > 100 for i, t in enumerate(texts) if len(t) == 6000)
+
+
 # --- languages ----------------------------------------------------------------------------------------------------
 def test_languages(spark, none, odd, odd_rows):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
