@@ -105,14 +105,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, hashes: int = 192,
             qscale = np.abs(q).max(axis=1, keepdims=True)
             qlen = np.sqrt(((q / qscale) ** 2).sum(axis=1)) * qscale[:, 0]
             index = CollisionIndex(distinct / length[:, None], hashes, seed)
-            for j, found in enumerate(index.candidates(q / qlen[:, None], k + 1 + int(verify * len(distinct)))):
+            copies, owner = np.diff(start), np.repeat(np.arange(len(distinct)), np.diff(start))
+            own = [np.bincount(owner[ids == a], minlength=len(distinct)) for a in asked]  # rows of the query's id by vector
+            spare = max(1, *(int((o == copies).sum()) for o in own))
+            for j, found in enumerate(index.candidates(q / qlen[:, None], k + spare + int(verify * len(distinct)))):
+                found = found[copies[found] > own[j][found]]
                 score = (distinct[found] @ q[j]) / (length[found] * qlen[j])
-                best = np.sort(score)[-(k + 1) :][0] if len(score) > k else -np.inf
+                best = np.sort(score)[-k:][0] if len(score) > k else -np.inf
                 found, score = found[score >= best], score[score >= best]
-                near = np.concatenate([ids[start[f] : min(start[f] + k + 1, start[f + 1])] for f in found])
-                score = np.repeat(score, [min(k + 1, start[f + 1] - start[f]) for f in found])
-                keep = near != asked[j]
-                near, score = near[keep], score[keep]
+                held = [ids[start[f] : min(start[f] + k + own[j][f], start[f + 1])] for f in found]  # own rows take no other's place
+                held = [x[x != asked[j]][:k] for x in held]
+                near, score = np.concatenate([ids[:0], *held]), np.repeat(score, [len(x) for x in held])
                 top = np.lexsort((near, -score))[:k]
                 out.append((np.full(len(top), asked[j]), near[top], score[top]))
         cols = [np.concatenate([np.zeros(0, t), *(o[c] for o in out)]) for c, t in enumerate((np.int64, np.int64, np.float64))]

@@ -39,3 +39,15 @@ def test_odd_vectors(spark):
     assert set(got) == set(want) and got[100] == [101, 102, 103, 104, 105] and got[300] == [301]
     assert all(set(got[q]) == {i for i, _ in want[q]} for q in (0, 300))
     assert qalsh.nearest(df.limit(0)).count() == 0
+
+
+def test_own_copies_take_no_places(spark):
+    """A query's rows, repeated among many equal vectors or with several vectors, leave k others."""
+    same = [1.0, 2.0, 3.0, 4.0]
+    rows = [(50, same)] * 3 + [(51 + i, same) for i in range(6)] + [(60 + i, [1.0, 2.0, 3.0, 4.5 + i]) for i in range(6)]
+    rows += [(150, [-1.0, 0.001 * i, 0.0, 0.0]) for i in range(9)] + [(160 + i, [-1.0, 0.1, 0.1 * i, 0.0]) for i in range(6)]
+    got = {}
+    for r in qalsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[50] == [51, 52, 53, 54, 55]
+    assert len(got[150]) == 5 and set(got[150]) <= set(range(160, 166))
