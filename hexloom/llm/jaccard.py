@@ -1,7 +1,8 @@
 """Exact set-similarity join on word shingles by set-relation skipping (operator 9).
 
-1. Documents are dealt into groups by id; each group forms every text's set of 64-bit shingle hashes. Exact copies have
-   equal sets, hence equal 128-bit digests, and count once from here on.
+1. Documents are dealt into groups by id and text; each group forms every text's set of 128-bit shingle hashes, made from 128-bit
+   hashes of whole words (two lanes that share nothing). Exact copies have equal sets, hence equal 128-bit digests, and count once
+   from here on. Where fewer bits are used below, a clash only adds a candidate or shifts a frequency.
 2. Document frequencies: each group sends its distinct hashes, sorted, delta- and plane-coded, to ranges of hashes, and is
    sent back one frequency class for each. A shingle in a third of all texts costs one entry a group, so no range is
    hot. Sets are ordered by (class, hash), rare first; shingles found in one set only never join anything, and a set
@@ -41,10 +42,10 @@ CODE_SHIFT, CODE_BITS = np.uint64(16), 48
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the sorted distinct shingle hashes of every text."""
+    """(hashes, bounds): the distinct shingle hashes of every text, two rows of 64 bits, in order."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros((2, 0), np.uint64), np.zeros(len(off), np.int64)
     low = _LOWER[raw]
     inside = ~_SEP[low]
     before = np.zeros(n, bool)
@@ -57,40 +58,58 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.n
     end = np.flatnonzero(inside & ~after) + 1
     w = span_hashes(low, start, end)
     wb = np.searchsorted(start, off)
-    m = len(w)
-    shingle = np.zeros(max(m - words + 1, 0), np.uint64)
+    m = w.shape[1]
+    shingle = np.zeros((2, max(m - words + 1, 0)), np.uint64)
     for k in range(words):
-        shingle += mix(w[k : m - words + 1 + k] + _SALT[k % 5] + np.uint64(k))
+        shingle += mix(w[:, k : m - words + 1 + k] + _SALT[k % 5] + np.uint64(k))
     shingle = mix(shingle)
-    out, bounds = [], [0]
+    out, bounds = [np.zeros((2, 0), np.uint64)], [0]
     for a, b in zip(wb[:-1].tolist(), wb[1:].tolist(), strict=True):
         if b - a >= words:
-            s = np.sort(shingle[a : b - words + 1])
-            if len(s) > 1:
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+            s = _distinct(shingle[:, a : b - words + 1])
         elif b > a:
-            s = np.full(1, b - a, np.uint64)
+            s = np.full((2, 1), b - a, np.uint64)
             for k in range(a, b):
-                s = mix((s ^ w[k : k + 1]) + _SALT[(k - a) % 5])
+                s = mix((s ^ w[:, k : k + 1]) + _SALT[(k - a) % 5])
         else:
-            s = np.zeros(0, np.uint64)
+            s = out[0]
         out.append(s)
-        bounds.append(bounds[-1] + len(s))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(bounds, np.int64)
+        bounds.append(bounds[-1] + s.shape[1])
+    return np.concatenate(out, axis=1), np.array(bounds, np.int64)
+
+
+def _distinct(s: np.ndarray) -> np.ndarray:
+    """Distinct columns in order."""
+    s = s[:, np.argsort(s[0])]
+    same = s[0, 1:] == s[0, :-1]
+    if same.any():
+        if (s[1, 1:] != s[1, :-1])[same].any():  # one half alike: the other one decides
+            s = s[:, np.lexsort((s[1], s[0]))]
+        s = s[:, np.concatenate([[True], (s[:, 1:] != s[:, :-1]).any(axis=0)])]
+    return s
 
 
 def _digests(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     """128 bits of every set; None for the empty set."""
     n = np.diff(bounds)
-    total = np.zeros((2, len(h) + 1), np.uint64)
-    np.add.accumulate(mix(h ^ _STEP[0]), out=total[0, 1:])
-    np.add.accumulate(mix(h ^ _STEP[1]), out=total[1, 1:])
+    total = np.zeros((2, h.shape[1] + 1), np.uint64)
+    for lane in (0, 1):
+        np.add.accumulate(mix(h[lane] ^ _STEP[lane]), out=total[lane, 1:])
     d = total[:, bounds[1:]] - total[:, bounds[:-1]]
     d = np.ascontiguousarray(mix(d + n.astype(np.uint64) * _STEP[2]).T)
     data = d.tobytes()
     return [data[16 * k : 16 * k + 16] if n[k] else None for k in range(len(n))]
 
 
+def numbered(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of all shingles of the sets in a row, equal where all 128 bits are."""
+    both = np.concatenate(sets, axis=1)
+    _, first, ids = np.unique(both[0], return_index=True, return_inverse=True)
+    if (both[1] != both[1][first][ids]).any():
+        _, ids = np.unique(both, axis=1, return_inverse=True)
+    return ids.reshape(-1)
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Byte planes under zstandard."""
     width = a.dtype.itemsize
@@ -109,7 +128,7 @@ class _Group:
     def __init__(self, table: pa.Table, words: int) -> None:
         self.ids = table.column("doc_id")
         raw, off = buffers(table.column("text"))
-        parts, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        parts, at = [np.zeros((2, 0), np.uint64)], [np.zeros(1, np.int64)]
         n, a = len(off) - 1, 0
         while a < n:  # bounded working arrays
             b = min(n, max(a + 1, int(np.searchsorted(off, off[a] + PIECE_BYTES, "right")) - 1))
@@ -117,12 +136,12 @@ class _Group:
             parts.append(h)
             at.append(bounds[1:] + at[-1][-1])
             a = b
-        self.h, self.bounds = np.concatenate(parts), np.concatenate(at)
+        self.h, self.bounds = np.concatenate(parts, axis=1), np.concatenate(at)
         self.digest = _digests(self.h, self.bounds)
         seen: set[bytes] = set()
         self.own = [d is not None and not (d in seen or seen.add(d)) for d in self.digest]
         keep = np.repeat(np.array(self.own, bool), np.diff(self.bounds))
-        self.codes, self.count = np.unique(self.h[keep] >> CODE_SHIFT, return_counts=True)
+        self.codes, self.count = np.unique(self.h[0, keep] >> CODE_SHIFT, return_counts=True)
 
 
 def _range_of(codes: np.ndarray, ranges: int) -> np.ndarray:
@@ -135,18 +154,18 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
     return np.where(df < 2, 1, np.minimum(255, 2 + np.floor(8 * np.log2(np.maximum(df, 2) / 2)))).astype(np.uint8)
 
 
-_SETS = "doc_id long, text_hash long, n int, digest binary, k int, shared binary"
+_SETS = "doc_id long, text_hash binary, n int, digest binary, k int, shared binary"
 
 
 def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4_000_000) -> DataFrame:
     """Steps 1 and 2: one row a document; ``shared`` (ordered hashes known to other sets too) once for each set of a group
     that may link, and k, how many of them are its prefix."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.substring(F.unhex(F.sha2(text_col, 256)), 1, 16).alias("text_hash"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(parallelism(spark), -(-size // group_bytes))
     ranges = max(parallelism(spark), groups // 4)
-    own = own.withColumn("gid", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    own = own.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).cast("int"))
 
     def request(table: pa.Table) -> pa.Table:
         g = _Group(table, words)
@@ -169,16 +188,16 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_
         cls = np.concatenate([np.zeros(0, np.uint8), *(_unpack(x, np.uint8) for _, x in parts)])
         n, k, shared = np.diff(g.bounds), [], []
         for d, own_set in enumerate(g.own):
-            h = g.h[g.bounds[d] : g.bounds[d + 1]]
+            h = g.h[:, g.bounds[d] : g.bounds[d + 1]]
             found = None
             if own_set:
-                c = cls[np.searchsorted(g.codes, h >> CODE_SHIFT)]
-                prefix = len(h) - -(-percent * len(h) // 100) + 1
+                c = cls[np.searchsorted(g.codes, h[0] >> CODE_SHIFT)]
+                prefix = len(c) - -(-percent * len(c) // 100) + 1
                 many = c > 1
-                left_over = prefix - (len(h) - int(many.sum()))
+                left_over = prefix - (len(c) - int(many.sum()))
                 if left_over > 0:
-                    h, c = h[many], c[many]
-                    found = left_over, h[np.lexsort((h, c))].tobytes()
+                    h, c = h[:, many], c[many]
+                    found = left_over, h[:, np.lexsort((h[1], h[0], c))].tobytes()
             k.append(found and found[0])
             shared.append(found and found[1])
         return pa.table([g.ids, left.column("text_hash"), pa.array(n, pa.int32()), pa.array(g.digest, pa.binary()), pa.array(k, pa.int32()), pa.array(shared, pa.binary())], ["doc_id", "text_hash", "n", "digest", "k", "shared"])
@@ -236,7 +255,7 @@ def _least(token: np.ndarray, v: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
 def resolve(sets: list[np.ndarray], n: np.ndarray, percent: int, label: np.ndarray | None = None, probe: np.ndarray | None = None) -> np.ndarray:
     """Step 4 in memory: component labels of the members; with ``probe``, those members are held against all.
 
-    sets: shared hashes of each member; n: full sizes; label: components known before.
+    sets: shared hashes of each member, two rows; n: full sizes; label: components known before.
     """
     m = len(sets)
     by = np.argsort(n, kind="stable")
@@ -244,9 +263,8 @@ def resolve(sets: list[np.ndarray], n: np.ndarray, percent: int, label: np.ndarr
     comp = np.arange(m) if label is None else np.unique(label[by], return_inverse=True)[1]
     todo = np.ones(m, bool) if probe is None else probe[by].copy()
     only = probe is not None
-    lens = np.array([len(sets[i]) for i in by])
-    flat = np.concatenate([sets[i] for i in by])
-    _, ids = np.unique(flat, return_inverse=True)
+    lens = np.array([sets[i].shape[1] for i in by])
+    ids = numbered([sets[i] for i in by])
     at = np.concatenate([[0], np.cumsum(lens)])
     owner = np.repeat(np.arange(m), lens)
     order = np.argsort(ids, kind="stable")  # inverted lists, members in order of size
@@ -302,8 +320,8 @@ def count_links(sets: list[np.ndarray], n: np.ndarray, k: np.ndarray, weight: np
     by = np.argsort(n, kind="stable")
     n, k, weight, side = n[by], k[by], weight[by], side[by]
     two = side.min() != side.max()
-    lens = np.array([len(sets[i]) for i in by])
-    _, ids = np.unique(np.concatenate([sets[i] for i in by]), return_inverse=True)
+    lens = np.array([sets[i].shape[1] for i in by])
+    ids = numbered([sets[i] for i in by])
     at = np.concatenate([[0], np.cumsum(lens)])
     owner = np.repeat(np.arange(m), lens)
     order = np.argsort(ids, kind="stable")  # inverted lists, members in order of size
@@ -390,7 +408,7 @@ def _links_of(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
                 continue
             n, shared, known, probe = zip(*rows.values(), strict=True)
             plain = not any(known)
-            comp = resolve([np.frombuffer(s, np.uint64) for s in shared], np.array(n, np.int64), percent, None if plain else np.array([k or d for k, d in zip(known, rows, strict=True)]), None if plain else np.array(probe))
+            comp = resolve([np.frombuffer(s, np.uint64).reshape(2, -1) for s in shared], np.array(n, np.int64), percent, None if plain else np.array([k or d for k, d in zip(known, rows, strict=True)]), None if plain else np.array(probe))
             first: dict[int, bytes] = {}
             for d, c in zip(rows, comp, strict=True):
                 first[c] = min(d, first.get(c, d))
@@ -412,7 +430,7 @@ def _counted_links(members: DataFrame, percent: int, chunk: int) -> DataFrame:
             n, shared, k, copies, block = zip(*rows.values(), strict=True)
             if table.column("i")[0] != table.column("j")[0] and min(block) == max(block):
                 continue  # the other block is empty
-            comp, count = count_links([np.frombuffer(s, np.uint64) for s in shared], *(np.array(x, np.int64) for x in (n, k, copies)), percent, np.array(block, np.int64))
+            comp, count = count_links([np.frombuffer(s, np.uint64).reshape(2, -1) for s in shared], *(np.array(x, np.int64) for x in (n, k, copies)), percent, np.array(block, np.int64))
             first: dict[int, bytes] = {}
             for d, c in zip(rows, comp, strict=True):
                 first[c] = min(d, first.get(c, d))

@@ -1,20 +1,22 @@
-"""Token counts and ids by a compiled finite-state transducer (operator 7; also the encoder behind operators 1 and 2).
+"""Token counts and ids by compiled finite-state transducers (operator 7; also the encoder behind operators 1 and 2).
 
 The pre-tokenizer of byte-level BPE vocabularies is a regular language with two characters of lookahead, so it compiles
-to a deterministic transducer of 14 states over 11 character classes. Every transition is annotated with what it emits:
+to a deterministic transducer of 12 states over 11 character classes. Every transition is annotated with what it emits:
 a token start here, one character earlier, both or none. A long buffer is cut into equal chunks. Each chunk's *state
 map* (entry state -> exit state) is computed for all chunks side by side; the maps compose associatively, so a parallel
 prefix scan gives every chunk's true entry state, and a last pass reads off the emissions. Between two starts lies one
-pre-token; its transition in the second, lazily determinised transducer carries the number of tokens it emits (and the
-ids). That table is filled from the tokenizers library for the distinct pre-tokens seen, and the count of a text is the
-difference of two prefix sums over its pre-tokens.
+pre-token, at which the second transducer (:mod:`hexloom.llm.bpe`), compiled from the merges, begins anew: its transitions carry
+the number of tokens they emit, and the count of a text is the difference of two prefix sums over its pre-tokens.
 
-Character classes beyond ASCII come from the library's own pre-tokenizer, so both always agree.
+Character classes beyond ASCII come from the library's own pre-tokenizer, so both always agree. Strings of added tokens part a
+text first, as the library has it. Vocabularies that are not byte-level BPE are left to their library.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import pieces, span_hashes
+from hexloom.llm.bpe import NONE, CountTransducer, Merges
+from hexloom.llm.common import pieces
 
 LETTER, L_L, L_E, L_RV, L_ONE, NUMBER, OTHER, APOS, SPACE, WHITE, END = range(11)
 STATES = (START, IN_L, IN_N, IN_O, APO, APO_RV, APO_L, DONE, W1S, W1W, W2S, W2W) = range(12)
 HERE, BACK = 1, 2
 CHUNK, WARM = 128, 6
-CACHE_WORDS = 1_500_000
 
 
 def _compile() -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +108,7 @@ def run(classes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes Arrow string columns with the tokenizers library, through the transducer."""
+    """Encodes Arrow string columns with a byte-level BPE vocabulary, through the transducers."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -115,14 +117,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        known = json.loads(self.tok.to_str())
+        model = known["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.machine = CountTransducer(Merges(model["vocab"], merges))
+        added = {t["content"].encode(): t["id"] for t in known["added_tokens"]}
+        self.special = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.added = added
         self.of = np.full(0x110000, 255, np.uint8)
         for cp in range(128):
             self.of[cp] = self._class(chr(cp))
-        self._clear()
 
-    def _clear(self) -> None:
-        self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+    @staticmethod
+    def fits(path: str) -> bool:
+        """Whether the file holds what the transducers are compiled from: byte-level BPE, its usual pattern, plain added tokens."""
+        if not path.endswith(".json"):
+            return False
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        model, before = known["model"], known["pre_tokenizer"] or {}
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        bare = not any(t[k] for t in known["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        return model["type"] == "BPE" and plain and bare and known["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
     def _class(self, c: str) -> int:
         if c in "'lersvtmd ":
@@ -162,73 +178,84 @@ class Encoder:
         begin[:-1] |= (emit[1:] & BACK) > 0
         return at[begin[place]]
 
-    def words(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of the table for every pre-token, bounds of each text in that list); the table then has them all."""
+    def _plain(self, raw: np.ndarray, off: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Tokens before each text's start and the last one's end, and with ``ids`` all token ids; no strings of added tokens."""
         start = self.starts(raw, off)
         end = np.append(start[1:], len(raw))
-        bounds = np.searchsorted(start, off)
-        h = span_hashes(raw, start, end)
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
-            self._clear()
-        pos = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[pos] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            f = first[new]
-            data = raw.tobytes()
-            texts = [data[a:b].decode() for a, b in zip(start[f], end[f], strict=True)]
-            ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.ids)
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
-            k = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(k, kind="stable")
-            self.first = np.concatenate([self.first, (base + np.cumsum(count) - count).astype(np.int32)])[order]
-            self.count, self.keys = np.concatenate([self.count, count.astype(np.int32)])[order], k[order]
-        return np.searchsorted(self.keys, keys)[back], bounds
-
-    def has_special(self, data: bytes) -> bool:
-        return any(s in data for s in self.special)
-
-    def _by_hand(self, raw: np.ndarray, off: np.ndarray) -> dict[int, np.ndarray]:
-        """Texts that hold a special string are left to the library as they are."""
-        data = raw.tobytes()
-        if not self.has_special(data):
-            return {}
-        texts = {k: data[off[k] : off[k + 1]] for k in range(len(off) - 1)}
-        return {k: np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids, np.uint32) for k, t in texts.items() if self.has_special(t)}
+        count, all_ids = self.machine.counts(raw, start, end[: len(start)], ids)
+        total = np.concatenate([[0], np.cumsum(count)])
+        return total[np.searchsorted(start, off)], all_ids
+
+    def _encoded(self, raw: np.ndarray, off: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """As :meth:`_plain`, for any texts: added tokens part them and stand for themselves."""
+        data = raw.tobytes() if self.special else b""
+        if not self.special or not self.special.search(data):
+            return self._plain(raw, off, ids)
+        cuts, marks = [0], [NONE]  # ends of segments; the added token that a segment is
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            for m in self.special.finditer(data, a, b):
+                cuts += [m.start(), m.end()]
+                marks += [NONE, self.added[m.group()]]
+            cuts.append(b)
+            marks.append(NONE)
+        cuts, marks = np.array(cuts, np.int64), np.array(marks, np.int64)
+        text = marks[1:] == NONE
+        size = np.where(text, np.diff(cuts), 0)
+        keep = np.repeat(text, np.diff(cuts))
+        at, own = self._plain(raw[keep], np.concatenate([[0], np.cumsum(size)]), ids)
+        n = np.where(text, np.diff(at), 1)
+        total = np.concatenate([[0], np.cumsum(n)])
+        last = np.searchsorted(cuts, off, "right") - 1  # empty segments belong to the text that they end
+        if not ids:
+            return total[last], None
+        out = np.empty(int(total[-1]), np.uint32)
+        held = np.repeat(text, n)
+        out[held] = own
+        out[~held] = marks[1:][~text]
+        return total[last], out
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of every text."""
-        found = [np.zeros(0, np.int64)]
-        for _, _, raw, off in pieces(column):
-            rows, bounds = self.words(raw, off)
-            total = np.concatenate([[0], np.cumsum(self.count[rows], dtype=np.int64)])
-            n = total[bounds[1:]] - total[bounds[:-1]]
-            for k, ids in self._by_hand(raw, off).items():
-                n[k] = len(ids)
-            found.append(n)
-        return np.concatenate(found)
+        return np.concatenate([np.zeros(0, np.int64), *(np.diff(self._encoded(raw, off, False)[0]) for _, _, raw, off in pieces(column))])
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of the ids of each text) for runs of texts."""
         for a, _, raw, off in pieces(column):
-            rows, bounds = self.words(raw, off)
-            count, first = self.count[rows].astype(np.int64), self.first[rows].astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(count)])
-            ids = self.ids[np.arange(total[-1]) + np.repeat(first - total[:-1], count)].astype(np.uint32)
-            at = total[bounds]
-            if hand := self._by_hand(raw, off):
-                parts = [hand[k] if k in hand else ids[at[k] : at[k + 1]] for k in range(len(off) - 1)]
-                at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                ids = np.concatenate(parts)
+            at, ids = self._encoded(raw, off, True)
             yield a, ids, at
 
 
+class Library:
+    """The same for other vocabularies, by their own library."""
+
+    def __init__(self, path: str) -> None:
+        if path.endswith(".model"):
+            import sentencepiece
+
+            own = sentencepiece.SentencePieceProcessor(model_file=path)
+            self._ids = lambda texts: own.encode(texts, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            self._ids = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for a, _, raw, off in pieces(column):
+            data = raw.tobytes()
+            found = self._ids([data[i:j].decode() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            yield a, np.fromiter((t for ids in found for t in ids), np.uint32), np.cumsum([0, *map(len, found)])
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, _, at in self.encode(column))])
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder | Library:
     """One for each worker process and vocabulary."""
-    return Encoder(path)
+    return Encoder(path) if Encoder.fits(path) else Library(path)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +263,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     Null and empty texts have 0 bytes and 0 tokens; null ids and repeated rows pass through, one output row for each
     input row; an empty table gives an empty table; other columns are not read, so clashing names don't matter. A text
-    of any length is handled whole. No shuffle: memory is bounded by a piece of text and a table of pre-tokens.
+    of any length is handled whole. No shuffle: memory is bounded by a piece of text and the transducer's tables.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -265,13 +265,26 @@ def test_jaccard_of_families(spark, chunk):
     assert Counter(map(tuple, jaccard.similarity_components(df, chunk=chunk).drop("text_hash").collect())) == classes_by_force(rows)
 
 
+def test_shingles_are_told_apart_by_all_bits(spark):
+    """A word of 2048 letters and its complement in the order that defeats polynomials modulo powers of two; halves of hashes that clash."""
+    odd = [bin(i).count("1") & 1 for i in range(2048)]
+    words = ["".join(pair[b ^ k] for b in odd) for pair in ("eq", "ab", "01") for k in (0, 1)]
+    rows = [(i, w) for i, w in enumerate([*words, words[0], *(f"{w} and four words more" for w in words)])]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash").collect()
+    assert Counter(map(tuple, got)) == classes_by_force(rows)
+    one = np.array([[5, 5, 5, 9], [1, 2, 1, 1]], np.uint64)
+    assert jaccard._distinct(one).T.tolist() == [[5, 1], [5, 2], [9, 1]]
+    ids = jaccard.numbered([one[:, :2], one[:, 2:]]).tolist()
+    assert ids[0] == ids[2] and len(set(ids)) == 3
+
+
 def test_resolve_is_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
         pool = rng.integers(0, 2**63, 60).astype(np.uint64)
         sets = [np.unique(rng.choice(pool[:40] if rng.random() < 0.5 else pool[30:], rng.integers(1, 25))) for _ in range(20)]
         n = np.array([len(s) + int(rng.integers(0, 2)) for s in sets])
-        got = jaccard.resolve(sets, n, 75)
+        got = jaccard.resolve([np.stack([s, s % np.uint64(7)]) for s in sets], n, 75)
         up = list(range(20))
         for a in range(20):
             for b in range(a):

@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from hexloom.llm import bitplane, packing, transducer
+from hexloom.llm import bitplane, bpe, packing, transducer
 from hexloom.llm.common import shared_folder
 from hexloom.llm.queries import vocabulary
 
@@ -37,6 +38,62 @@ def test_encoder_is_the_library(texts):
     assert [ids[at[k] : at[k + 1]].tolist() for _, ids, at in enc.encode(column) for k in range(len(at) - 1)] == want
 
 
+def test_words_that_defeat_polynomial_hashes(spark, vocab, tok):
+    """2048 letters and their complements in Thue-Morse order: equal under any polynomial modulo 2^64, yet not in tokens."""
+    odd = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join(pair[b ^ k] for b in odd) for pair in ("eq", "ab", "01", "tn") for k in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    want = [ids_of(tok, t) for t in texts]
+    assert {r.doc_id: r.n_tokens for r in transducer.token_counts(df, vocab).collect()} == {k: len(w) for k, w in enumerate(want)}
+    path = shared_folder(spark, "planes")
+    bitplane.write_planes(df, path, vocab)
+    crc = lambda ids: zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+    assert {r.doc_id: r.ids_crc32 for r in bitplane.read_documents(spark, path).collect()} == {k: crc([*w, 0]) for k, w in enumerate(want)}
+    packed = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack_documents(df, vocab, capacity=4096).collect()}
+    assert packed == {(k, 0): crc([*w, 2]) for k, w in enumerate(want)}
+
+
+def test_long_runs_through_state_maps(vocab, tok):
+    """Unbroken runs take chunk maps and the prefix scan; periods, noise and tables that are emptied on the way change nothing."""
+    rng = random.Random(5)
+    texts = ["a" * n for n in (255, 256, 257, 513, 5000)] + ["ab" * 3000 + "a" * 3000, "=-" * 9000, "é" * 4000, "".join(rng.choice("abcdefghij") for _ in range(40_000)), "".join(rng.choice("0123456789") for _ in range(9000)) + " end"]
+    enc = transducer.Encoder(vocab)
+    column = pa.array(texts)
+    want = [ids_of(tok, t) for t in texts]
+    for _ in range(2):
+        assert enc.counts(column).tolist() == [len(w) for w in want]
+        assert [ids[at[k] : at[k + 1]].tolist() for _, ids, at in enc.encode(column) for k in range(len(at) - 1)] == want
+        enc.machine.forget()
+    raw = np.frombuffer(texts[-2].encode(), np.uint8)
+    _, _, into, state, count = enc.machine._through(raw, 0, len(raw), bpe.START)
+    exits, counts = enc.machine.walk(raw, np.zeros(1, np.int64), np.array([len(raw)]), np.zeros(1, np.int64))
+    assert (state, count) == (exits[0], counts[0]) and into[0] == bpe.START
+
+
+def test_pairs_that_may_stand(vocab, tok):
+    """Random pairs of tokens stand side by side if and only if the library gives them back; all of a class agree."""
+    m = transducer.encoder(vocab).machine.merges
+    rng = random.Random(2)
+    plain = [t for t, b in m.text.items() if b.isalpha()]
+    for _ in range(4000):
+        a, b = rng.choice(plain), rng.choice(plain)
+        assert m.may_stand(a, b) == (ids_of(tok, (m.text[a] + m.text[b]).decode()) == [a, b])
+        assert m.may_stand(a, b) == m.may_stand(m.alike[a], b)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_by_their_library(name):
+    path = vocabulary(name)
+    texts = ["Hello  wörld 12", "", "日本 <|endoftext|>"]
+    if name.endswith("json"):
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    else:
+        want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    enc = transducer.encoder(path)
+    assert enc.counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    assert [ids[at[k] : at[k + 1]].tolist() for _, ids, at in enc.encode(pa.array(texts)) for k in range(len(at) - 1)] == want
+
+
 def test_states_agree_with_one_walk():
     rng = np.random.default_rng(0)
     for n in (1, 5, 127, 128, 129, 1000):
