@@ -29,11 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the one with the smallest hash stays. Repeated rows of what stays are one document.
     """
     found = jaccard.similarity_classes(docs)
-    alone = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
+    alone = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("text_hash"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = found.groupBy(F.coalesce("class_key", alone.cast("binary")).alias("key")).agg(F.min(rank).alias("first"))
     first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.substring(F.unhex(F.sha2("text", 256)), 1, 16).eqNullSafe(F.col("_hash"))
     return docs.select(*COLUMNS).join(first, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
