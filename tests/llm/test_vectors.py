@@ -3,12 +3,17 @@ import numpy as np
 from hexloom.llm import qalsh
 
 
+def unit(v):
+    a = np.array(v, float) / np.abs(v).max()
+    return a / np.linalg.norm(a)
+
+
 def by_force(rows, every=50, k=5):
     sound = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
     for q, a in {(i, tuple(v)): (i, v) for i, v in sound}.values():
         if q % every == 0:
-            scores = [(-float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), i) for i, b in sound if i != q and len(b) == len(a)]
+            scores = [(-float(unit(a) @ unit(b)), i) for i, b in sound if i != q and len(b) == len(a)]
             out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
 
@@ -51,3 +56,36 @@ def test_own_copies_take_no_places(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got[50] == [51, 52, 53, 54, 55]
     assert len(got[150]) == 5 and set(got[150]) <= set(range(160, 166))
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 2e200, 3e200]), (1, [1e200, 2e200, 3.1e200]), (2, [1e-200, 2e-200, 3.2e-200]), (3, [1.0, -1.0, 2.0]), (50, [5e-324, 0.0, 1e308]), (51, [0.0, 1e-320, 1e-5]), (4, [1e308, 1e308, 1e308])]
+    got = {}
+    for r in qalsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = by_force(rows)
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+    assert all(abs(s - t) < 1e-12 for q in got for (_, s), (_, t) in zip(got[q], want[q], strict=True))
+
+
+def test_equal_vectors_tie_across_shards(spark):
+    """Copies lie in all shards; their scores are the same to the last bit, so the smallest ids win."""
+    rng = np.random.default_rng(3)
+    same = rng.standard_normal(64).tolist()
+    near = (np.array(same) + 0.01 * rng.standard_normal(64)).tolist()
+    rows = [(0, near)] + [(1 + i, same) for i in range(300)] + [(1000 + i, rng.standard_normal(64).tolist()) for i in range(700)]
+    got = qalsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=40).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and len({r.score for r in got}) == 1
+
+
+def test_little_is_verified_where_vectors_have_structure():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((80, 64))
+    x = np.repeat(centres, 50, axis=0) + 0.3 * rng.standard_normal((4000, 64))
+    shard = qalsh._Shard(np.arange(4000), np.ones(4000, np.int64), x, 192, 7)
+    hits = 0
+    full = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 4000, 50):
+        best = np.argsort(-(full @ full[q]), kind="stable")
+        hits += len(set(best[best != q][:5]) & set(shard.nearest(q, x[q], 5)[0]))
+    assert hits >= 0.99 * 400 and shard.verified < 0.03 * 80 * 4000
