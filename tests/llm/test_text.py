@@ -27,7 +27,7 @@ ODD_TURNS = [
 
 def test_chat_of_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1, "x") for r in ODD_TURNS], "conv_id long, turn long, role string, text string, window int, span string")
-    w = chat.windows(df, budget=200, history=60).cache()
+    w = chat.windows(df, budget=800, history=240).cache()
     got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(w).collect()}
     convs = defaultdict(list)
     for c, t, r, x in ODD_TURNS:
@@ -36,12 +36,35 @@ def test_chat_of_odd_rows(spark):
     first = w.where("conv_id = 1").orderBy("window").collect()
     assert len(first) > 5 and all(r.text.startswith("<|im_start|>system\n") for r in first)
     assert any(not t.fresh and t.idx > 0 for t in first[1].turns)
-    for r in first:  # windows keep to the budget, but for marks and the system turn's share
-        assert sum(math.ceil(len(p) / 4) for p in [r.text]) <= 260
+    assert all(len(r.text.encode()) <= 800 for r in first)
     none = df.limit(0)
     assert chat.windows(none).count() == 0 and chat.read_back(chat.windows(none)).count() == 0
 
 
+def test_windows_keep_to_the_budget(spark):
+    """But for a window of one long turn and the system turn; a system turn beyond a quarter of the budget is not repeated."""
+    rng = np.random.default_rng(8)
+    rows = [(1, 0, "system", "s" * 20_000), (2, 0, "system", "be kind"), (3, 0, "system", "x" * 960)]
+    rows += [(c, k, ("user", "assistant")[k % 2], "é" * int(rng.choice([0, 3, 40, 200, 900, 2500], p=[0.1, 0.3, 0.3, 0.2, 0.07, 0.03]))) for c in (1, 2, 3) for k in range(1, 400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    w = chat.windows(df).cache()
+    for r in w.collect():
+        system = r.text.startswith("<|im_start|>system")
+        assert len(r.text.encode()) <= 4096 or len(r.turns) <= 1 + system
+        assert system == (r.conv_id > 1 or any(t.idx == 0 for t in r.turns))
+    assert w.agg(F.sum(F.octet_length("text"))).first()[0] < 3 * sum(len(x[3].encode()) + 40 for x in rows)
+    given = df.withColumn("n", F.length("text") + 8)
+    for r in chat.windows(given, budget=2000, history=400, tokens="n").collect():
+        texts = [p.split("\n", 1)[1][: -len(chat.CLOSE)] for p in r.text.split(chat.OPEN)[1:]]
+        assert sum(len(t) + 8 for t in texts) <= 2000 or len(texts) <= 2
+
+
+def test_one_conversation_of_many_turns(spark):
+    df = spark.range(60_000).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+    got = chat.read_back(chat.windows(df)).collect()
+    assert [tuple(r)[1:5] for r in got] == [chat_digest([(k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(60_000)])]
+
+
 def test_chat_query(spark, data):
     got = {r.conv_id: tuple(r)[1:5] for r in queries.QUERIES["op3_chat_windows"](spark, data).collect()}
     said = "</s>[INST] ok [/INST]"
