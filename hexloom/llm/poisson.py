@@ -2,8 +2,9 @@
 
 Each source has a rate: its target share of all characters over its own share. A document's number of copies is a Poisson
 draw with that mean, inverted from a uniform number hashed from seed and id, so it is the same in every run and on every
-cluster. Rates above 32 are drawn as sums of independent smaller ones, which is exact. Copies are spread by a hashed key
-and written in its order, which shuffles all sources together.
+cluster. Rates above 32 are drawn as sums of independent smaller ones, which is exact. Copies get a uniform key hashed in the same
+way; partitions are equal stretches of it and sorted by it, so all copies come out in the key's order: one global shuffle, and no
+pass to find the stretches.
 """
 
 from __future__ import annotations
@@ -49,27 +50,28 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temper: floa
 def replicate(docs: DataFrame, targets: dict[str, float] | None = None, temper: float = 0.5, seed: str = "mix") -> DataFrame:
     """``docs`` with copy (from 1), rate and mix_key, each document as often as its draw says, in the order of mix_key.
 
-    Documents drawn zero times are out: that is the sampling this operator is for. A null source is a source of its own; a null
-    id draws as the text 'null'; rows of one id draw alike, each for itself; null and empty texts are documents of no
-    characters. An empty table gives an empty table. All columns pass; docs may not hold copy, rate and mix_key itself
-    (they are replaced).
+    Documents drawn zero times are out: that is the sampling this operator is for. A null source is a source of its own; rows
+    of one id draw alike, each for itself, and rows without an id draw by their text; null and empty texts are documents of no
+    characters. A text of any length is one document. An empty table gives an empty table. All columns pass, whatever their
+    names; docs may not hold copy, rate and mix_key itself (they are replaced).
     """
     docs = docs.drop("copy", "rate", "mix_key")
-    columns = docs.columns
     # written, so that Spark knows its size when it plans: small tables of sources are broadcast and the texts stay in
     # place; large ones are joined by a shuffle, where Spark splits a hot source
-    r = written(rates(docs, targets, temper), "rates").select(F.col("source").alias("_source"), F.col("rate"), F.col("parts").alias("_parts"), F.col("below").alias("_below"))
-    d = docs.join(r, docs["source"].eqNullSafe(r["_source"]))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    r = written(rates(docs, targets, temper), "rates").select(F.col("source").alias("of"), "rate", "parts", "below")
+    d = docs.select(F.struct("*").alias("doc"))  # no name of docs can clash
+    d = d.join(r, F.col("doc.source").eqNullSafe(F.col("of"))).where("rate > 0")
+    name = F.coalesce(F.col("doc.doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("doc.text", F.lit("")))))
 
     def draw(u: Column) -> Column:
-        return F.size(F.filter("_below", lambda c: c <= u))
+        return F.size(F.filter("below", lambda c: c <= u))
 
-    many = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, k: acc + draw(uniform(F.lit(seed), name, k.cast("string"))))
-    d = d.where("rate > 0").withColumn("_many", many).where("_many > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_many"))))
+    many = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, k: acc + draw(uniform(F.lit(seed), name, k.cast("string"))))
+    d = d.select("doc", "rate", F.explode(F.when(many > 0, F.sequence(F.lit(1), many))).alias("copy"))
     d = d.withColumn("mix_key", uniform(F.lit(seed), F.lit("order"), name, F.col("copy").cast("string")))
-    out = d.select(*columns, "copy", "rate", "mix_key")
-    return out.repartitionByRange(parallelism(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
+    parts = parallelism(docs.sparkSession)
+    out = d.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int")).sortWithinPartitions("mix_key")
+    return out.select("doc.*", "copy", "rate", "mix_key")
 
 
 #: The same rows in DuckDB; the rate is compared to nine decimals.
@@ -84,7 +86,7 @@ pmf AS (
 below AS (SELECT source, list(c ORDER BY k) AS below FROM pmf GROUP BY source),
 d AS (SELECT documents.*, part.rate, part.parts, below.below FROM documents JOIN part ON documents.source IS NOT DISTINCT FROM part.source JOIN below ON documents.source IS NOT DISTINCT FROM below.source),
 drawn AS (
-  SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(below, lambda c: c <= ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || i), 1, 13))::BIGINT / 4503599627370496.0))))::INT AS many FROM d),
+  SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(below, lambda c: c <= ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || i), 1, 13))::BIGINT / 4503599627370496.0))))::INT AS many FROM d),
 copies AS (SELECT *, unnest(range(1, many + 1))::INT AS copy FROM drawn WHERE many > 0)
 SELECT {columns} FROM copies
 """

@@ -94,11 +94,11 @@ def test_poisson_of_odd_rows(odd, odd_rows, none):
         rate = weights[r.source] / sum(weights.values()) * sum(size.values()) / size[r.source]
         assert r.rate == pytest.approx(rate)
 
-    def draw(doc, rate):
+    def draw(doc, text, rate):
         parts = max(1, math.ceil(rate / 32))
         total = 0
         for k in range(1, parts + 1):
-            u = int(hashlib.md5(f"mix:{'null' if doc is None else doc}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"mix:{'null:' + hashlib.md5((text or '').encode()).hexdigest() if doc is None else doc}:{k}".encode()).hexdigest()[:13], 16) / 2**52
             mean, p, c, n = rate / parts, math.exp(-rate / parts), math.exp(-rate / parts), 0
             while c <= u:
                 n += 1
@@ -110,12 +110,24 @@ def test_poisson_of_odd_rows(odd, odd_rows, none):
     want = Counter()
     for r in odd_rows:
         rate = weights[r[3]] / sum(weights.values()) * sum(size.values()) / size[r[3]]
-        for k in range(draw(r[0], rate)):
+        for k in range(draw(r[0], r[1], rate)):
             want[(r[0], r[1], k + 1)] += 1
     assert Counter((r.doc_id, r.text, r.copy) for r in rows) == want
     assert [r.mix_key for r in rows] == sorted(r.mix_key for r in rows)
 
 
+def test_poisson_passes_any_column(spark):
+    names = ["_many", "_source", "of", "parts", "below", "doc", "copy", "rate", "mix_key", "size", "w"]
+    df = spark.createDataFrame([(i, "x" * i, "s", *range(len(names))) for i in range(1, 30)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = poisson.replicate(df, targets={"s": 1.0}).collect()
+    assert got and all([r[n] for n in names[:6] + names[9:]] == [0, 1, 2, 3, 4, 5, 9, 10] for r in got)
+
+
+def test_rows_without_an_id_draw_for_themselves(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") + 10_000).cast("string")).alias("text"), F.lit("s").alias("source"))
+    assert poisson.replicate(df, targets={"s": 1.0}).count() == pytest.approx(4000, rel=0.1)
+
+
 def test_poisson_meets_its_mean(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     n = {r[0]: r[1] for r in poisson.replicate(docs, targets={"a": 0.5, "b": 0.5}).groupBy("source").count().collect()}
