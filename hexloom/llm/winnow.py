@@ -9,6 +9,7 @@ text, which is never longer than its own, has at least the same kinds. A text of
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +54,9 @@ def winnow(text: Column, k: int = 3, w: int = 6) -> Column:
 
 
 def minima(g: Column, w: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, w))))
+    """The smallest of every w neighbours, each once, in order: of equal hashes the rightmost, as its number is smaller."""
+    least = F.transform(F.sequence(F.lit(0), F.size(g) - w), lambda i: F.least(*[g[i + j] for j in range(w)]) if w > 1 else g[i])
+    return F.when(F.size(g) < w, F.array(F.array_min(g))).otherwise(F.array_distinct(least))
 
 
 def short_winnow(text: Column) -> Column:
@@ -84,54 +87,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row by descending doc_id (then text); the last row's next is the first.
+def in_ranges(docs: DataFrame, per_partition: int = 4) -> DataFrame:
+    """(doc_id, text, tie, part, guest): rows dealt to ranges in descending order of (doc_id, tie), tie a hash of the text.
 
-    Ranges of ids, from quantiles of all ids, are the unit: a window runs inside each range, whose last row gets the next range's
-    first row as a guest. So no window holds all rows and texts are shuffled once. Bounds: a few for each partition.
+    Ranges of ids, from quantiles of all ids, are the unit; an id that fills several ranges (or rows without an id) is cut further by
+    tie. The first row of each range is a guest of the range before it, so that there every row has its next one: no window holds all
+    rows and texts are shuffled once. Bounds: a few for each partition.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("tie", F.xxhash64("text"))
     n = per_partition * parallelism(spark)
-    cuts = own.agg(F.expr(f"percentile_approx(doc_id, {'array(' + ', '.join(f'{k / n:.9f}D' for k in range(1, n)) + ')'}, 100000)")).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    # null ids rank last of all by descending order: range -1
-    place = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(-1))
-    own = own.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place))
-    heads = sorted((r[0], r[1]) for r in own.groupBy("part").agg(F.max("doc_id")).collect())  # a row for each range
+    shares = "array(" + ", ".join(f"{k / n:.9f}D" for k in range(1, n)) + ")"
+    cuts, absent, rows = own.agg(F.expr(f"percentile_approx(doc_id, {shares}, 100000)"), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    many = Counter(cuts or [])
+    many[None] = round(n * absent / max(rows, 1))
+    least, width = -(2**63), 2**64
+    bounds = [(c, least + width * j // (k + 1)) for c, k in many.items() for j in range(0 if c is not None else 1, k + 1)]
+    struct = lambda c, t: F.struct(F.lit(c).cast("long").alias("doc_id"), F.lit(t).cast("long").alias("tie"))
+    key = F.struct("doc_id", "tie")
+    listed = F.array(*[struct(*b) for b in sorted(bounds, key=lambda b: (b[0] is not None, b))]) if bounds else F.expr("cast(array() as array<struct<doc_id: bigint, tie: bigint>>)")
+    own = own.withColumn("part", F.size(F.filter(listed, lambda c: c <= key)))
+    heads = sorted((r[0], r[1]["doc_id"], r[1]["tie"]) for r in own.groupBy("part").agg(F.max(key)).collect())  # a row for each range
     if not heads:
-        return own.select("doc_id", "text", F.lit("").alias("next_text"))
-    after = {p: heads[k - 1][0] for k, (p, _) in enumerate(heads)}  # descending order: the range below comes next
-    guest_of = {nxt: p for p, nxt in after.items()}  # a range's head is a guest of the range above
-    pairs = [x for p, top in heads for x in (F.lit(p), F.struct(F.lit(top).cast("long").alias("top"), F.lit(guest_of[p]).alias("host")))]
+        return own.withColumn("guest", F.lit(False))
+    after = {p: heads[k - 1][0] for k, (p, *_) in enumerate(heads)}  # descending order: the range below comes next
+    host = {nxt: p for p, nxt in after.items()}  # a range's head is a guest of the range above
+    pairs = [x for p, *top in heads for x in (F.lit(p), F.struct(struct(*top).alias("top"), F.lit(host[p]).alias("host")))]
     home = F.element_at(F.create_map(*pairs), F.col("part"))
-    guest = F.col("doc_id").eqNullSafe(F.col("home")["top"])
-    rows = own.withColumn("home", home).withColumn("stay", F.explode(F.when(guest, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    rows = rows.select("doc_id", "text", F.when(F.col("stay"), F.col("home")["host"]).otherwise(F.col("part")).alias("part"), F.col("stay").alias("guest"))
-    order = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(order))
-    return rows.where(~F.col("guest")).select("doc_id", "text", "next_text")
+    stays = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
+    visits = F.array(F.struct(home["host"].alias("part"), F.lit(True).alias("guest")))
+    dealt = own.withColumn("at", F.explode(F.when(key.eqNullSafe(home["top"]), F.concat(stays, visits)).otherwise(stays)))
+    return dealt.select("doc_id", "text", "tie", "at.part", "at.guest").repartition(parallelism(spark), "part")
 
 
 def fingerprints(docs: DataFrame, k: int = 3, w: int = 6) -> DataFrame:
     """Fingerprint of every text, of its edited text and their likenesses.
 
     The edited text: the last third of the code points replaced by the first as many (or all) of the next row's text,
-    by descending doc_id. Null texts are empty; null ids come last; rows of one id are ordered by text; a single row is its
-    own next; an empty table gives an empty table; other columns are not read. Hashes of words are given as ``hash@word``, those
-    of short texts' code points behind them as ``hash@c`` and the code point; likenesses are of both.
+    by descending doc_id. Null texts are empty; null ids come last; rows of one id are ordered by a hash of their texts, so many of them are
+    spread over tasks unless they are repeated rows; a single row is its own next; an empty table gives an empty table; other
+    columns are not read. Very long texts are taken whole. Each text and each edited text is winnowed once. Hashes of words are given as
+    ``hash@word``, those of short texts' code points behind them as ``hash@c`` and the code point; likenesses are of both.
     """
-    d = with_next(docs)
+    d = in_ranges(docs).withColumn("own", winnow(F.col("text"), k, w)).withColumn("own_c", short_winnow(F.col("text")))
+    every = lambda name: hashes_of(F.concat(name, f"{name}_c"))
+    d = d.withColumn("own_set", every("own"))
+    order = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"), "text")
+    d = d.withColumn("next_text", F.lead("text").over(order)).withColumn("next_set", F.lead("own_set").over(order)).where(~F.col("guest"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    texts = {"own": F.col("text"), "next": F.col("next_text"), "changed": F.col("edited")}
-    prints = lambda name: [winnow(texts[name], k, w).alias(name), short_winnow(texts[name]).alias(f"{name}_c")]
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), *prints("own"), *prints("next"))
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "own_c", "next", "next_c", *prints("changed"))
-    every = lambda name: hashes_of(F.concat(name, f"{name}_c"))
-    sets = let(F.struct(every("own").alias("a"), every("changed").alias("b"), every("next").alias("c")), lambda s: F.struct(likeness(s["a"], s["b"]).alias("edited"), likeness(s["a"], s["c"]).alias("next")))
-    d = d.withColumn("near", sets)
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "own_c", "own_set", "next_set")
+    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "own_c", "own_set", "next_set", winnow(F.col("edited"), k, w).alias("changed"), short_winnow(F.col("edited")).alias("changed_c"))
     shown = lambda name: F.concat_ws(" ", *[F.when(F.size(c) > 0, as_text(F.col(c), m)) for c, m in ((name, "@"), (f"{name}_c", "@c"))])
-    return d.select("doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), F.col("near")["edited"].alias("near_edited"), F.col("near")["next"].alias("near_next"))
+    near = [likeness(F.col("own_set"), every("changed")).alias("near_edited"), likeness(F.col("own_set"), F.col("next_set")).alias("near_next")]
+    return d.select("doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), *near)

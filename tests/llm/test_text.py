@@ -1,9 +1,12 @@
 import hashlib
 import math
+import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hexloom.llm import chat, jaccard, langid, license, poisson, queries, winnow
@@ -152,16 +155,83 @@ def test_winnowing_ties_go_right(spark):
     assert [int(x.split("@")[1]) for x in got.split()] == [5, 6, 7, 8, 9]
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def xx(text, seed=42):
+    return signed(xxhash.xxh64(text.encode(), seed=seed % 2**64).intdigest())
+
+
+def winnowed(hashes, w):
+    """(hash, position) of the smallest of every window, the rightmost of equal ones."""
+    kept = []
+    for i in range(max(len(hashes) - w, 0) + 1):
+        best = min(range(i, min(i + w, len(hashes))), key=lambda j: (hashes[j], -j))
+        if (hashes[best], best) not in kept:
+            kept.append((hashes[best], best))
+    return kept
+
+
+def print_by_force(text, k=3, w=6):
+    words = [x for x in re.split("[ \t-\r]+", text) if x]
+    words = [y for x in words for y in (x if len(x) > winnow.LONG else [x])]
+    h = [xx(x) % winnow.PRIME for x in words]
+    if not h:
+        return [], []
+
+    def poly(xs, plus=0, start=None):
+        acc = xs[0] if start is None else start
+        for x in xs[1 if start is None else 0 :]:
+            acc = (acc * winnow.BASE + x + plus) % winnow.PRIME
+        return acc
+
+    grams = [poly(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [poly(h, 1, 0)]
+    marks = []
+    for least, size, width in winnow.SHORT if len(text) < winnow.SHORT[0][0] else []:
+        if len(text) < least:
+            seed = signed(xxhash.xxh64(struct.pack("<i", size), seed=42).intdigest())
+            marks += winnowed([xx(text[i : i + size], seed) % winnow.PRIME for i in range(max(len(text) - size, 0) + 1)], width)
+    return winnowed(grams, w), marks
+
+
+def prints_by_force(rows):
+    """All columns of the fingerprints of (id, text) rows."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -xx(r[1])))
+    want = Counter()
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    shown = lambda p: " ".join([f"{h:x}@{i}" for h, i in p[0]] + [f"{h:x}@c{i}" for h, i in p[1]])
+    memo = {}
+    made = lambda t: memo.setdefault(t, None) or memo.__setitem__(t, print_by_force(t)) or memo[t]
+    of = lambda p: {h for part in p for h, _ in part}
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + nxt[:third]
+        a, b, c = made(t), made(edited), made(nxt)
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), round(like(of(a), of(b)), 9), round(like(of(a), of(c)), 9))] += 1
+    return want
+
+
+def rounded(r):
+    return (*tuple(r)[:5], round(r[5], 9), round(r[6], 9))
+
+
+def test_fingerprints_by_force(spark, data):
+    """The whole table; rows without an id and rows of one id, which fill several ranges."""
+    df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    assert Counter(map(rounded, winnow.fingerprints(df).collect())) == prints_by_force([tuple(r) for r in df.collect()])
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i * i} " * (i % 5)) for i in range(300)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(map(rounded, winnow.fingerprints(many).collect())) == prints_by_force(rows)
+    parts = winnow.in_ranges(many).where("not guest").groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    assert parts.agg(F.max("n")).first()[0] < 60
+
+
 def test_fingerprints_of_odd_rows(odd, odd_rows, none):
     assert winnow.fingerprints(none).count() == 0
     got = winnow.fingerprints(odd).collect()
-    order = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    want = Counter()
-    for k, r in enumerate(order):
-        t, nxt = r[1] or "", order[(k + 1) % len(order)][1] or ""
-        third = len(t) // 3
-        want[(r[0], len(t), hashlib.sha256((t[: len(t) - third] + nxt[:third]).encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert Counter(map(rounded, got)) == prints_by_force([(r[0], r[1]) for r in odd_rows])
     prints = defaultdict(set)
     text_of = defaultdict(set)
     for r in odd_rows:
@@ -261,8 +331,6 @@ def test_licenses_of_odd_rows(odd, odd_rows, none):
 # --- near duplicates ------------------------------------------------------------------------------------------------
 def classes_by_force(rows, words=5):
     low = str.maketrans({i: i + 32 for i in range(65, 91)})
-    import re
-
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
