@@ -1,13 +1,14 @@
 """Language identification by language-bitmask n-gram filters (operator 6).
 
-For each language the n-grams found in most of its documents form a set. All sets lie in one bit-sliced Bloom filter: row r
+For each language the n-grams found in a small share of its documents, and in two at least, form a set. All sets lie in one bit-sliced Bloom filter: row r
 of the filter is a bitmask of languages, and the AND of an n-gram's rows is the set of all languages that contain it, in one
 lookup whatever the number of languages. A text's mask bits are counted by language; each count is corrected for
 the filter's false positives (c - f n) / (1 - f) and divided by the share that texts of that language have in training; the
 largest decides.
 
 The filter is fitted on a bounded sample: ``per_language`` labelled documents of each language, chosen by a hash of the id,
-whole texts, and ``grams`` n-grams of each. The filter has a fixed size, so what reaches each task does not grow with the data.
+whole texts, and all n-grams that a share ``common`` of them have (two at least). The filter is sized from their number; as the sample is bounded, what
+reaches each task does not grow with the data.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ class LanguageFilter:
         return np.clip(share, 0, None)
 
 
-def fit(labelled: DataFrame, per_language: int = 300, grams: int = 4000) -> LanguageFilter:
+def fit(labelled: DataFrame, per_language: int = 300, common: float = 0.02) -> LanguageFilter:
     """The filter of ``labelled`` (id, text, lang): a bounded sample of each language by the hash of the id."""
     order = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
     named = labelled.where("lang is not null and doc_id is not null and text is not null")
@@ -115,8 +116,8 @@ def fit(labelled: DataFrame, per_language: int = 300, grams: int = 4000) -> Lang
                     yield pa.RecordBatch.from_arrays([pa.array(names[lang.astype(int)].tolist(), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     found = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = found.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams)
-    table = top.select("lang", "gram").toPandas()
+    fitted = sample.groupBy("lang").agg(F.count("*").alias("of"))
+    table = found.join(fitted, "lang").where(F.col("n") >= F.greatest(F.lit(2), F.col("of") * common)).select("lang", "gram").toPandas()  # bounded by the sample
     languages = sorted(table["lang"].unique())
     model = LanguageFilter(languages, {x: table.loc[table["lang"] == x, "gram"].to_numpy().astype(np.uint64) for x in languages})
 
@@ -172,7 +173,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from labelled rows whose crc32(doc_id) mod 4 is not 2.
 
     A null id is not held out and not learned from; repeated rows give repeated results; an empty table gives an empty
-    table. ``keep``: columns to carry instead of doc_id and held_out.
+    table. Every text is read whole, whatever its length. Other columns are not read, so their names don't matter. ``keep``: columns to carry instead of doc_id and held_out.
     """
     model = fit(docs.where(_third() != 2).select("doc_id", "text", "lang"))
     own = docs if keep else docs.select("doc_id", "text", F.coalesce(_third() == 2, F.lit(False)).alias("held_out"))

@@ -267,6 +267,46 @@ def test_languages(spark, none, odd, odd_rows):
     assert all(r.lang_pred == "und" for r in rows if r.doc_id in (0, 1, 2, 12))
 
 
+def grams_by_force(text):
+    """The n-grams of a text in plain Python: ASCII folded, runs of marks and digits one gap."""
+    low = bytearray()
+    for b in text.encode():
+        b = b + 32 if 65 <= b <= 90 else b
+        gap = (b < 65 and b != 39) or 91 <= b <= 96 or 123 <= b <= 127
+        if not (gap and low[-1:] == b" "):
+            low.append(32 if gap else b)
+    return [bytes(low[i : i + n]) for n in langid.ORDERS for i in range(len(low) - n + 1)]
+
+
+def test_masks_and_counts_by_force(spark):
+    """A filter fitted on plain sets: every share is the plain one but for false positives, and these are no more than it says."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    model = langid.fit(docs, per_language=10**6)
+    sets = defaultdict(Counter)
+    for r in rows:
+        sets[r.lang].update(set(grams_by_force(r.text)))
+    of = Counter(r.lang for r in rows)
+    sets = {lang: {g for g, n in c.items() if n >= max(2, of[lang] * 0.02)} for lang, c in sets.items()}
+    assert model.languages == sorted(sets)
+    texts = [r.text for r in rows[:60]] + ["A", "", "x1y 2", "l'été", "qq zz"]
+    raw, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    shares = model.shares(raw, off)
+    hits = {lang: 0 for lang in sets}
+    strange = dict(hits)
+    for k, t in enumerate(texts):
+        grams = grams_by_force(t)
+        for j, lang in enumerate(model.languages):
+            true = sum(g in sets[lang] for g in grams)
+            # undo the correction: the masks' own count, never below the true one
+            count = shares[k, j] * (1 - model.false[j]) * max(len(grams), 1) + model.false[j] * len(grams)
+            if shares[k, j] > 0:
+                assert round(count) >= true and abs(count - round(count)) < 1e-6
+                strange[lang] += round(count) - true
+                hits[lang] += len(grams) - true
+    assert all(strange[x] <= 3 * model.false[j] * hits[x] + 10 for j, x in enumerate(model.languages))
+
+
 def test_filter_masks_hold_more_than_64_languages():
     names = [f"l{i:03}" for i in range(130)]
     grams = {n: np.arange(50, dtype=np.uint64) + np.uint64(1000 * i) for i, n in enumerate(names)}
