@@ -31,15 +31,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage so that a lost executor costs little."""
+def written(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage so that a lost executor costs little.
+
+    With ``under``, a folder of :func:`shared_folder`, the table lies inside it and goes with it when that is released.
+    """
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = f"{under}/{name}-{uuid.uuid4().hex}" if under else shared_folder(spark, name)
     df.write.parquet(path)
     gc.collect()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables that no result reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,13 +103,13 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return np.ascontiguousarray(np.frombuffer(own, np.uint64).reshape(-1, 2).T)[:, distinct.indices.to_numpy()]
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, under: str | None = None) -> DataFrame:
     """Connected components of undirected links (a, b): rows (v, root), root the smallest vertex of v's component.
 
     Alternates large-star and small-star steps (a logarithmic number of rounds). Every round is pre-aggregated by
     ``min`` and written to the shared folder; only two counters come to the driver. Vertices without links are absent.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, under)
     before = None
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -108,7 +117,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        e = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        e = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, under)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -5,7 +5,9 @@
    from here on. Where fewer bits are used below, a clash only adds a candidate or shifts a frequency.
 2. Document frequencies: each group sends its distinct hashes, sorted, delta- and plane-coded, to ranges of hashes, and is
    sent back one frequency class for each. A shingle in a third of all texts costs one entry a group, so no range is
-   hot. Sets are ordered by (class, hash), rare first; shingles found in one set only never join anything, and a set
+   hot. Beyond ``FAN`` ranges the way has two steps: groups send to ``FAN`` wide ranges, where as many groups are merged with summed
+   counts and sent on to the ranges inside, and classes come back by the same steps. So messages stay large and their number
+   grows with the groups, not with groups times ranges. Sets are ordered by (class, hash), rare first; shingles found in one set only never join anything, and a set
    whose prefix has no other shingle is done.
 3. Prefixes that share a shingle put their sets into one candidate family (min-label links, connected components).
 4. In a family, members lie in order of size in the inverted lists; a probe skips the blocks of every list that size bounds
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import PIECE_BYTES, buffers, components, mix, parallelism, span_hashes, written
+from hexloom.llm.common import PIECE_BYTES, buffers, components, mix, parallelism, release, shared_folder, span_hashes, written
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,6 +41,8 @@ _LOWER[65:91] += 32
 _STEP = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SALT = mix(np.array(_STEP))
 CODE_SHIFT, CODE_BITS = np.uint64(16), 48
+#: Ranges to which a group, or as many groups merged, sends its hashes at once.
+FAN = 2048
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -144,12 +148,37 @@ class _Group:
         self.codes, self.count = np.unique(self.h[0, keep] >> CODE_SHIFT, return_counts=True)
 
 
-def _range_of(codes: np.ndarray, ranges: int) -> np.ndarray:
-    """Bounds of each range of hashes in sorted codes."""
-    edges = (np.arange(1, ranges, dtype=object) * 2**CODE_BITS // ranges).astype(np.uint64)
+def _range_of(codes: np.ndarray, ranges: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Bounds in sorted codes of each range of equal length, of all hashes or of the ``part``-th of ``parts`` stretches."""
+    edges = ((part * ranges + np.arange(1, ranges, dtype=object)) * 2**CODE_BITS // (ranges * parts)).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(codes, edges), [len(codes)]]).astype(np.int64)
 
 
+def _messages(head: tuple[int, ...], at: np.ndarray, codes: np.ndarray, count: np.ndarray, names: list[str]) -> pa.Table:
+    """One row for each range that holds codes: ``head``, the range, codes and counts."""
+    rows = [(*head, r, _pack(np.diff(codes[a:b], prepend=np.uint64(0))), _pack(count[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+    kinds = [*[pa.int32()] * (len(head) + 1), pa.binary(), pa.binary()]
+    return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
+
+
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of each message, all distinct codes, their summed counts, and the place of each code of all messages among them."""
+    codes = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table.column("codes").to_pylist()]
+    counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
+    distinct, back = np.unique(np.concatenate(codes), return_inverse=True)
+    return codes, distinct, np.bincount(back, weights=counts).astype(np.int64), back
+
+
+def _classes_back(table: pa.Table, keys: list[str], codes: list[np.ndarray], cls: np.ndarray) -> pa.Table:
+    cut = np.cumsum([0, *map(len, codes)])
+    return pa.table([*(table.column(k) for k in keys), pa.array([_pack(cls[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], [*keys, "classes"])
+
+
+def _in_order(table: pa.Table, by: str) -> np.ndarray:
+    parts = sorted(zip(table.column(by).to_pylist(), table.column("classes").to_pylist(), strict=True))
+    return np.concatenate([np.zeros(0, np.uint8), *(_unpack(x, np.uint8) for _, x in parts)])
+
+
 def _frequency_class(df: np.ndarray) -> np.ndarray:
     return np.where(df < 2, 1, np.minimum(255, 2 + np.floor(8 * np.log2(np.maximum(df, 2) / 2)))).astype(np.uint8)
 
@@ -167,25 +196,33 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_
     ranges = max(parallelism(spark), groups // 4)
     own = own.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).cast("int"))
 
+    fan = min(ranges, FAN)
+    within = -(-ranges // fan)
+
     def request(table: pa.Table) -> pa.Table:
         g = _Group(table, words)
-        at = _range_of(g.codes, ranges)
-        gid = table.column("gid")[0].as_py()
-        rows = [(gid, r, _pack(np.diff(g.codes[a:b], prepend=np.uint64(0))), _pack(g.count[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["gid", "part", "codes", "counts"])
+        return _messages((table.column("gid")[0].as_py(),), _range_of(g.codes, fan), g.codes, g.count, ["gid", "part", "codes", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        codes = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table.column("codes").to_pylist()]
-        counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
-        _, back = np.unique(np.concatenate(codes), return_inverse=True)
-        cls = _frequency_class(np.bincount(back, weights=counts))[back]
-        cut = np.cumsum([0, *map(len, codes)])
-        return pa.table([table.column("gid"), table.column("part"), pa.array([_pack(cls[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["gid", "part", "classes"])
+        codes, _, total, back = _merged(table)
+        return _classes_back(table, ["gid", "part"], codes, _frequency_class(total)[back])
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        _, distinct, total, _ = _merged(table)
+        head = table.column("many")[0].as_py(), table.column("part")[0].as_py()
+        return _messages(head, _range_of(distinct, within, head[1], fan), distinct, total, ["many", "part", "sub", "codes", "counts"])
+
+    def count_within(table: pa.Table) -> pa.Table:
+        codes, _, total, back = _merged(table)
+        return _classes_back(table, ["many", "part", "sub"], codes, _frequency_class(total)[back])
+
+    def pass_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, _, _, back = _merged(left)
+        return _classes_back(left, ["gid", "part"], codes, _in_order(right, "sub")[back])
 
     def reply(left: pa.Table, right: pa.Table) -> pa.Table:
         g = _Group(left, words)
-        parts = sorted(zip(right.column("part").to_pylist(), right.column("classes").to_pylist(), strict=True))
-        cls = np.concatenate([np.zeros(0, np.uint8), *(_unpack(x, np.uint8) for _, x in parts)])
+        cls = _in_order(right, "part")
         n, k, shared = np.diff(g.bounds), [], []
         for d, own_set in enumerate(g.own):
             h = g.h[:, g.bounds[d] : g.bounds[d + 1]]
@@ -203,7 +240,13 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_
         return pa.table([g.ids, left.column("text_hash"), pa.array(n, pa.int32()), pa.array(g.digest, pa.binary()), pa.array(k, pa.int32()), pa.array(shared, pa.binary())], ["doc_id", "text_hash", "n", "digest", "k", "shared"])
 
     sent = own.groupBy("gid").applyInArrow(request, "gid int, part int, codes binary, counts binary")
-    back = sent.groupBy("part").applyInArrow(count, "gid int, part int, classes binary")
+    if within == 1:
+        back = sent.groupBy("part").applyInArrow(count, "gid int, part int, classes binary")
+    else:
+        sent = written(sent.withColumn("many", F.floor(F.col("gid") / fan).cast("int")), "hashes")
+        merged = sent.groupBy("many", "part").applyInArrow(pass_on, "many int, part int, sub int, codes binary, counts binary")
+        within_back = merged.groupBy("part", "sub").applyInArrow(count_within, "many int, part int, sub int, classes binary")
+        back = sent.groupBy("many", "part").cogroup(within_back.groupBy("many", "part")).applyInArrow(pass_back, "gid int, part int, classes binary")
     return own.groupBy("gid").cogroup(back.groupBy("gid")).applyInArrow(reply, _SETS)
 
 
@@ -212,7 +255,7 @@ def _label(digest: str = "digest") -> F.Column:
     return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long")
 
 
-def candidate_families(sets: DataFrame) -> DataFrame:
+def candidate_families(sets: DataFrame, under: str | None = None) -> DataFrame:
     """Step 3: (v, root) of sets whose prefixes are connected by shared shingles."""
     parts = parallelism(sets.sparkSession)
 
@@ -236,7 +279,7 @@ def candidate_families(sets: DataFrame) -> DataFrame:
         return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     found = sets.where("shared is not null").select(_label().alias("v"), "k", "shared").mapInArrow(local, "part int, token binary, v binary, links binary")
-    return components(found.groupBy("part").applyInArrow(meet, "a long, b long"), "families")
+    return components(found.groupBy("part").applyInArrow(meet, "a long, b long"), "families", under)
 
 
 def _least(token: np.ndarray, v: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -447,20 +490,23 @@ def _counted_links(members: DataFrame, percent: int, chunk: int) -> DataFrame:
 def similarity_links(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, n_links): as :func:`similarity_components`, and with how many other rows each
     row is linked, its exact copies among them; rows without shingles have no links."""
+    spark = docs.sparkSession
+    under = shared_folder(spark, "similarity")
     sets = written(document_sets(docs, words, percent, id_col, text_col), "sets")
-    family = candidate_families(sets)
+    family = candidate_families(sets, under)
     copies = sets.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    copies = written(copies.withColumn("v", _label()), "copies")
+    copies = written(copies.withColumn("v", _label()), "copies", under)
     sizes = family.groupBy("root").agg(F.count("*").alias("size"))
-    family = written(family.join(sizes, "root").where("size > 1").join(copies.drop("least"), "v"), "families")
+    family = written(family.join(sizes, "root").where("size > 1").join(copies.drop("least"), "v"), "families", under)
     able = sets.where("shared is not null").select("digest", "n", "shared", "k").join(family, "digest")
-    links = written(_counted_links(able, percent, chunk), "links")
+    links = written(_counted_links(able, percent, chunk), "links", under)
     counts = links.groupBy(F.col("a").alias("digest")).agg(F.sum("n_links").alias("others"))
-    roots = components(links.select("a", "b"), "classes").select(F.col("v").alias("digest"), "root")
+    roots = components(links.select("a", "b"), "classes", under).select(F.col("v").alias("digest"), "root")
     classes = copies.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ends = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(ends, "root").join(counts, "digest", "left")
     classes = written(classes.select("digest", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "classes")
+    release(spark, under)
     out = sets.select("doc_id", "text_hash", "n", "digest").join(classes, "digest", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -479,34 +525,37 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 75, chunk
     others (a component of null ids only has a null id). class_key names a component even where ids are null or repeated;
     it is null for rows without shingles. An empty table gives an empty table; other columns are not read.
     """
+    spark = docs.sparkSession
+    under = shared_folder(spark, "similarity")
     sets = written(document_sets(docs, words, percent, id_col, text_col), "sets")
-    family = candidate_families(sets)
+    family = candidate_families(sets, under)
     sizes = family.groupBy("root").agg(F.count("*").alias("size"))
-    family = written(family.join(sizes, "root"), "families")
+    family = written(family.join(sizes, "root"), "families", under)
     nothing = [F.lit(None).cast("binary").alias("known"), F.lit(False).alias("probe")]
     # one set may come from several groups: equal digests meet under one label
     able = sets.where("shared is not null").select("digest", "n", "shared", _label().alias("v")).join(family, "v")
     deal = lambda salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.ceil(F.col("size") / chunk)).cast("int").alias("chunk")
-    links = written(_links_of(able.select("root", "digest", "n", "shared", *nothing, deal(1)), ["root", "chunk"], percent), "links")
+    links = written(_links_of(able.select("root", "digest", "n", "shared", *nothing, deal(1)), ["root", "chunk"], percent), "links", under)
     large = able.where(F.col("size") > chunk)
     if not family.where(F.col("size") > chunk).isEmpty():
         again = _links_of(large.select("root", "digest", "n", "shared", *nothing, deal(2)), ["root", "chunk"], percent)
-        links = written(links.unionAll(again), "links")
-        known = components(links, "known")
-        there = written(large.join(known.select(F.col("v").alias("digest"), F.col("root").alias("known")), "digest", "left").withColumn("known", F.coalesce("known", "digest")), "large")
+        links = written(links.unionAll(again), "links", under)
+        known = components(links, "known", under)
+        there = written(large.join(known.select(F.col("v").alias("digest"), F.col("root").alias("known")), "digest", "left").withColumn("known", F.coalesce("known", "digest")), "large", under)
         tally = there.select("root", "known", "digest", "size").distinct().groupBy("root", "known").agg(F.count("*").alias("of"), F.max("size").alias("size"))
         top = tally.groupBy("root").agg(F.max_by("known", F.struct("of", "known")).alias("top"), F.sum("of").alias("all"), F.max("of").alias("most"))
-        top = written(top.withColumn("strays", F.col("all") - F.col("most")).where("strays > 0"), "strays")
+        top = written(top.withColumn("strays", F.col("all") - F.col("most")).where("strays > 0"), "strays", under)
         if not top.isEmpty():
             rest = there.join(top, "root").withColumn("blocks", F.ceil(F.col("strays") / chunk).cast("int")).withColumn("chunks", F.ceil(F.col("all") / chunk).cast("int"))
             stray = rest.where("known <> top").withColumn("block", F.pmod(F.xxhash64("v", F.lit(3)), "blocks")).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("probe", F.lit(True))
             every = rest.withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(4)), "chunks").cast("int")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)"))).withColumn("probe", F.lit(False))
             cols = ["root", "block", "chunk", "digest", "n", "shared", "known", "probe"]
-            links = written(links.unionAll(_links_of(stray.select(*cols).unionAll(every.select(*cols)), ["root", "block", "chunk"], percent)), "links")
+            links = written(links.unionAll(_links_of(stray.select(*cols).unionAll(every.select(*cols)), ["root", "block", "chunk"], percent)), "links", under)
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("least")).where("digest is not null")
-    roots = components(links, "classes").select(F.col("v").alias("digest"), "root")
+    roots = components(links, "classes", under).select(F.col("v").alias("digest"), "root")
     classes = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ends = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(classes.join(ends, "root").select("digest", "component_id", F.col("root").alias("class_key")), "classes")
+    release(spark, under)
     out = sets.select("doc_id", "text_hash", "n", "digest").join(classes, "digest", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "class_key")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import mix, parallelism, pieces, written
+from hexloom.llm.common import mix, parallelism, pieces, release, shared_folder, written
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -98,10 +98,11 @@ def fit(labelled: DataFrame, per_language: int = 300, common: float = 0.02) -> L
     for keys in (["part"], []):
         chosen = chosen.withColumn("k", order(*keys)).where(F.col("k") <= per_language).drop("k")
     chosen = chosen.select("doc_id", "lang")
-    chosen = written(chosen, "chosen")
+    folder = shared_folder(labelled.sparkSession, "fit")
+    chosen = written(chosen, "chosen", folder)
     small = chosen.count() <= BROADCAST_ROWS  # else, with very many languages, Spark joins by a shuffle
     sample = named.select("doc_id", "lang", "text").join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"], "left_semi")
-    sample = written(sample.repartition(parallelism(labelled.sparkSession)), "sample")
+    sample = written(sample.repartition(parallelism(labelled.sparkSession)), "sample", folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,6 +131,7 @@ def fit(labelled: DataFrame, per_language: int = 300, common: float = 0.02) -> L
                 yield pa.RecordBatch.from_arrays([pa.array(langs[a:b], pa.string()), pa.array(own, pa.float64())], ["lang", "share"])
 
     means = {r[0]: r[1] for r in sample.select("lang", "text").mapInArrow(usual, "lang string, share double").groupBy("lang").agg(F.expr("percentile_approx(share, 0.5)")).collect()}
+    release(labelled.sparkSession, folder)
     model.usual = np.array([max(means.get(x) or 1.0, 1e-6) for x in languages])
     return model
 

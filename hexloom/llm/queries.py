@@ -61,10 +61,6 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similarity_components(table(spark, sf_dir, "documents")).drop("text_hash")
-
-
-def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_links(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
@@ -80,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bit_planes, op2_best_fit_packing, op3_chat_windows, op4_poisson_mix, op5_winnowing, op6_language_filter, op7_token_counts, op8_license_scan, op9_jaccard_join, op9_jaccard_links, op10_collision_neighbours, pipeline)
+    for f in (op1_bit_planes, op2_best_fit_packing, op3_chat_windows, op4_poisson_mix, op5_winnowing, op6_language_filter, op7_token_counts, op8_license_scan, op9_jaccard_join, op10_collision_neighbours, pipeline)
 }
 
 _JACCARD_SQL = r"""
@@ -94,17 +90,13 @@ pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, coalesce(l.n_links, 0) AS n_links
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON l.a = d.doc_id
 """
 
-_LINKS_SQL = _JACCARD_SQL.replace("r.component_id\n", "r.component_id, coalesce(l.n_links, 0) AS n_links\n") + "LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON l.a = d.doc_id\n"
-
 ORACLE_SQL: dict[str, str] = {
     "op4_poisson_mix": poisson.SQL.format(columns="doc_id, text, lang, source, n_chars, copy, round(rate, 9) AS rate"),
     "op8_license_scan": license.SQL,
     "op9_jaccard_join": _JACCARD_SQL,
-    "op9_jaccard_links": _LINKS_SQL,
 }
-
-

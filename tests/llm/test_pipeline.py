@@ -1,6 +1,16 @@
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from test_text import classes_by_force
+from test_tokens import check_packing
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -26,7 +36,62 @@ def test_sql(spark, data, name):
     assert key(tuple(r[x] for x in cols) for r in got.collect()) == key(other)
 
 
-def test_stages_on_odd_rows(spark, odd, none, tmp_path):
+def classes_of(rows):
+    """The component of every id, where ids are distinct."""
+    return {doc: component for doc, _, component in classes_by_force(rows)}
+
+
+def mixed_by_force(rows, temper=0.5):
+    """Each row as often as its source's rate and the number hashed from its id (or its text) say."""
+    size = Counter()
+    for r in rows:
+        size[r.source] += len(r.text or "")
+    weight = {s: n**temper for s, n in size.items()}
+    out = []
+    for r in rows:
+        rate = weight[r.source] / sum(weight.values()) * sum(size.values()) / size[r.source] if size[r.source] and sum(weight.values()) else 1.0
+        parts, many = max(1, math.ceil(rate / 32)), 0
+        name = "null:" + hashlib.md5((r.text or "").encode()).hexdigest() if r.doc_id is None else r.doc_id
+        for k in range(1, parts + 1):
+            u = int(hashlib.md5(f"mix:{name}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / parts)
+            n = 0
+            while c <= u:
+                n += 1
+                p *= rate / parts / n
+                c += p
+            many += n
+        out += [tuple(r)] * many
+    return out
+
+
+def pieces_by_force(vocab, rows, capacity=1024):
+    tok, want = Tokenizer.from_file(vocab), Counter()
+    for doc, text in rows:
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        at, piece = 0, 0
+        while at < len(ids):
+            end = at + ((len(ids) - 1) % capacity + 1 if at == 0 else capacity)
+            part = ids[at:end]
+            want[(doc, piece, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))] += 1
+            at, piece = end, piece + 1
+    return want
+
+
+def test_run_by_force(spark, data, vocab):
+    """The pipeline over a whole table against its stages in plain Python; languages by the fitted model alone decide what is dropped."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    kept = [r for r in docs if r.text and re.search(r"[^\W\d_]", r.text)]
+    classes = classes_of([(r.doc_id, r.text) for r in kept])
+    first = {}
+    for r in kept:
+        first[classes[r.doc_id]] = min(r.doc_id, first.get(classes[r.doc_id], r.doc_id))
+    left = [r for r in kept if first[classes[r.doc_id]] == r.doc_id]
+    mixed = mixed_by_force(left)
+    assert check_packing(corpus_pipeline.run(spark, data).collect(), pieces_by_force(vocab, [(r[0], r[1]) for r in mixed]), 1024)
+
+
+def test_stages_on_odd_rows(spark, odd, none, tmp_path, vocab):
     for start in (odd, none):
         docs = start.select(*corpus_pipeline.COLUMNS)
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -42,6 +107,11 @@ def test_stages_on_odd_rows(spark, odd, none, tmp_path):
                 assert docs.groupBy("doc_id", "text").count().where("count > 1").count() == 0
                 assert docs.where("doc_id = 3").count() == 2 and docs.where("doc_id is null").count() == 1
                 assert docs.where("doc_id in (5, 7, 11)").count() == 0
+            if k == 2:
+                assert Counter(map(tuple, docs.collect())) == Counter(mixed_by_force(before))
+            if k == 3:
+                check_packing(docs.collect(), pieces_by_force(vocab, [(r.doc_id, r.text) for r in before]), 1024)
+            before = docs.collect()
 
 
 def test_run(spark, data):

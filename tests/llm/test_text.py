@@ -438,6 +438,15 @@ def test_shingles_are_told_apart_by_all_bits(spark):
     assert ids[0] == ids[2] and len(set(ids)) == 3
 
 
+def test_frequencies_by_two_steps(spark, monkeypatch):
+    """Wide ranges first: the sets, their order and their prefixes are those of one step."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = lambda: sorted((r.doc_id, r.n, r.digest, r.k, r.shared) for r in jaccard.document_sets(df, 5, 75, group_bytes=20_000).collect())
+    want = rows()
+    monkeypatch.setattr(jaccard, "FAN", 4)
+    assert rows() == want and any(r[3] for r in want)
+
+
 def test_resolve_is_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
