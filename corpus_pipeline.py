@@ -17,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language (no text or no letter); lang becomes the predicted one."""
+    """Drops what has no language (no text or no letter); lang becomes the predicted one.
+
+    Null and empty texts go; texts of any length are read whole; null ids and sources, ties and repeated rows pass as they are;
+    an empty table stays empty. Only the five columns of ``documents`` are read, so further ones and their names don't matter.
+    """
     said = langid.identify(docs, COLUMNS)
     return said.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
@@ -26,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group: the one with the smallest id; documents without words stay.
 
     Rows are told apart by id and text. In a group a null id ranks after all others, and of several texts of one id
-    the one with the smallest hash stays. Repeated rows of what stays are one document.
+    the one with the smallest hash stays. Repeated rows of what stays are one document. Null, empty and blank texts link with
+    nothing and stay; texts of any length are held whole; an empty table stays empty; further columns are not read.
     """
     found = jaccard.similarity_classes(docs)
     alone = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("text_hash"))
@@ -38,12 +43,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come to their target weights, shuffled."""
+    """Repeats or leaves out documents so that sources come to their target weights, shuffled.
+
+    A null source is one of its own; rows of one id draw alike, rows without an id by their text; repeated rows draw each for itself;
+    null and empty texts have no weight and keep their rate; an empty table stays empty; further columns are dropped at the end.
+    """
     return poisson.replicate(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1024 tokens."""
+    """The pieces of sequences of 1024 tokens.
+
+    Null and empty texts are one piece, their end mark; longer ones are cut, none is dropped; repeated rows and null ids are packed as
+    often as they stand; pieces of one length are alike, so ties don't matter; an empty table gives no pieces; further columns are not read.
+    """
     return packing.pack_documents(docs, vocabulary())
 
 
