@@ -90,13 +90,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(2, spans): 128 bits of ``raw[start:end]`` for every span (ascending, apart), by XXH3 of each distinct text among them."""
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """(2, spans): 128 bits of ``raw[start:end]`` for every span, by XXH3 of each distinct text among them. ``inside`` tells the bytes of spans."""
     if not len(start):
         return np.zeros((2, 0), np.uint64)
-    size = end - start
-    off = np.concatenate([[0], np.cumsum(size)])
-    data = raw[np.arange(off[-1]) + np.repeat(start - off[:-1], size)]
+    off = np.concatenate([[0], np.cumsum(end - start)])
+    data = raw[inside]
     texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
     distinct = texts.dictionary_encode()  # compares bytes
     own = b"".join(map(xxhash.xxh3_128_digest, distinct.dictionary.to_pylist()))

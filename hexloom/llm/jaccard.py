@@ -43,6 +43,8 @@ _SALT = mix(np.array(_STEP))
 CODE_SHIFT, CODE_BITS = np.uint64(16), 48
 #: Ranges to which a group, or as many groups merged, sends its hashes at once.
 FAN = 2048
+#: Sets with candidates whose families are broadcast (tens of MB); beyond, sets are joined to their families by a shuffle.
+BROADCAST_SETS = 500_000
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.n
     after[:-1] = inside[1:]
     after[off[1:][off[1:] > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    w = span_hashes(low, start, end)
+    w = span_hashes(low, start, end, inside)
     wb = np.searchsorted(start, off)
     m = w.shape[1]
     shingle = np.zeros((2, max(m - words + 1, 0)), np.uint64)
@@ -250,6 +252,11 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_
     return own.groupBy("gid").cogroup(back.groupBy("gid")).applyInArrow(reply, _SETS)
 
 
+def _to_sets(family: DataFrame) -> DataFrame:
+    """``family``, a written table, as the side of a join with sets: broadcast where its rows, counted, are few, so that sets move once."""
+    return F.broadcast(family) if family.count() <= BROADCAST_SETS else family
+
+
 def _label(digest: str = "digest") -> F.Column:
     """64 bits of a digest: names sets while candidates are looked for, where a clash only adds a probe."""
     return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long")
@@ -498,7 +505,7 @@ def similarity_links(docs: DataFrame, words: int = 5, percent: int = 75, chunk:
     copies = written(copies.withColumn("v", _label()), "copies", under)
     sizes = family.groupBy("root").agg(F.count("*").alias("size"))
     family = written(family.join(sizes, "root").where("size > 1").join(copies.drop("least"), "v"), "families", under)
-    able = sets.where("shared is not null").select("digest", "n", "shared", "k").join(family, "digest")
+    able = sets.where("shared is not null").select("digest", "n", "shared", "k").join(_to_sets(family), "digest")
     links = written(_counted_links(able, percent, chunk), "links", under)
     counts = links.groupBy(F.col("a").alias("digest")).agg(F.sum("n_links").alias("others"))
     roots = components(links.select("a", "b"), "classes", under).select(F.col("v").alias("digest"), "root")
@@ -533,7 +540,7 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 75, chunk
     family = written(family.join(sizes, "root"), "families", under)
     nothing = [F.lit(None).cast("binary").alias("known"), F.lit(False).alias("probe")]
     # one set may come from several groups: equal digests meet under one label
-    able = sets.where("shared is not null").select("digest", "n", "shared", _label().alias("v")).join(family, "v")
+    able = sets.where("shared is not null").select("digest", "n", "shared", _label().alias("v")).join(_to_sets(family), "v")
     deal = lambda salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.ceil(F.col("size") / chunk)).cast("int").alias("chunk")
     links = written(_links_of(able.select("root", "digest", "n", "shared", *nothing, deal(1)), ["root", "chunk"], percent), "links", under)
     large = able.where(F.col("size") > chunk)

@@ -465,8 +465,9 @@ def test_resolve_is_brute_force():
 
 
 @pytest.mark.parametrize("chunk", [4096, 6])
-def test_jaccard_counts_every_link(spark, chunk):
-    """Near copies and exact ones in one family, null and repeated ids; small chunks take the way of large families."""
+def test_jaccard_counts_every_link(spark, chunk, monkeypatch):
+    """Near copies and exact ones in one family, null and repeated ids; small chunks take the way of large families and no broadcast."""
+    monkeypatch.setattr(jaccard, "BROADCAST_SETS", 10**6 if chunk > 6 else 0)
     rng = np.random.default_rng(3)
     words = np.array([f"w{i}" for i in range(900)])
     texts = [None, "", "two words", "Two  words"]
