@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by collision-counting hashing (operator 10).
 
 Every hash is one projection kept as a sorted array. A query opens a window around its own projection in each array and
-widens all windows by a constant factor at a time (virtual rehashing: a wider window is a coarser hash, without a new index).
-A vector collides once for each window it lies in; vectors with ``threshold`` collisions are verified with the exact cosine.
-The k-th best distance found so far bounds the search: once windows are so wide that a vector at that distance would
-collide often enough with ``SURE`` standard deviations to spare, what has not collided is not nearer, and the query is done.
+widens all windows together (virtual rehashing: a wider window is a coarser hash, without a new index). A vector collides once for
+each window it lies in; vectors whose collisions reach a threshold are verified with the exact cosine. The first windows have
+the threshold that some vectors reach, whichever that is; the k-th best distance among these bounds the search: windows widen
+to where a vector at that distance would collide in ``SHARE`` of the projections with ``SURE`` standard deviations to spare. What
+has not come to ``SHARE`` there is not nearer, and the query is done.
 
 Rows are dealt into shards by a hash of id and vector, queries into blocks, and each (shard, block) is one bounded task: the shard's rows
 come first and are indexed, then the block's queries stream past. Every row is indexed. Equal vectors of a shard are indexed once, so
 one very common vector fills no window. Work grows with queries times rows, as a stated query set against all rows does;
-nothing is broadcast. Blocks are large, since sorted arrays take nine times the space of their vectors (192 projections of 64
+nothing is broadcast. Blocks are large, since sorted arrays take six times the space of their vectors (128 projections of 64
 components): they are sorted anew for each block, a small part of its work, and not stored and moved.
 """
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from hexloom.llm.common import parallelism
 
 #: Share of the projections in which a vector must collide, standard deviations to spare, first window and its growth.
-SHARE, SURE, FIRST, GROWTH = 0.7, 2.0, 0.2, 1.2
+SHARE, SURE, FIRST, GROWTH = 0.7, 1.5, 0.8, 1.5
+#: Vectors verified at the first windows, for each one wanted.
+AHEAD = 8
 #: Queries of a block.
 BLOCK = 65_536
 
@@ -62,7 +65,7 @@ def reach(hashes: int) -> float:
 class CollisionIndex:
     """Sorted projections of unit vectors."""
 
-    def __init__(self, unit: np.ndarray, hashes: int = 192, seed: int = 7) -> None:
+    def __init__(self, unit: np.ndarray, hashes: int = 128, seed: int = 7) -> None:
         self.n, self.ways = len(unit), directions(unit.shape[1], hashes, seed)
         proj = np.ascontiguousarray((unit @ self.ways).T)
         order = np.argsort(proj, axis=1, kind="stable")
@@ -73,7 +76,7 @@ class CollisionIndex:
         self.need, self.reach = math.ceil(SHARE * hashes), reach(hashes)
         self.widest = 2 * float(np.sqrt(unit.shape[1])) + 1
 
-    def search(self, query: np.ndarray, verify: Callable[[np.ndarray], float]) -> None:
+    def search(self, query: np.ndarray, k: int, verify: Callable[[np.ndarray], float]) -> None:
         """Hands the vectors that come to enough collisions to ``verify`` as windows widen, until the distance that it returns bounds the rest."""
         at = query @ self.ways + self.stretch
         count = np.zeros(self.n, np.int64)
@@ -89,12 +92,15 @@ class CollisionIndex:
             if new:
                 count += np.bincount(np.concatenate(new), minlength=self.n)
             a, b = left, right
-            found = np.flatnonzero((count >= self.need) & ~seen)
+            least = self.need
+            if not seen.any() and self.n > AHEAD * k:
+                least = max(min(least, int(np.partition(count, -AHEAD * k)[-AHEAD * k])), 1)
+            found = np.flatnonzero((count >= least) & ~seen)
             seen[found] = True
             kth = verify(found)
             if wide or width >= self.reach * kth:
                 return
-            width = min(width * GROWTH, max(self.reach * kth, width)) if np.isfinite(kth) else width * GROWTH
+            width = max(self.reach * kth, width) if np.isfinite(kth) else width * GROWTH
 
 
 class _Shard:
@@ -139,7 +145,7 @@ class _Shard:
                     return math.sqrt(max(2 - 2 * float(bound), 0.0))
             return np.inf
 
-        self.index.search(q[0] / qlen[0], verify)
+        self.index.search(q[0] / qlen[0], k, verify)
         near, score = [], []
         for f, s in zip(vectors.tolist(), scores.tolist(), strict=True):
             held = slice(self.start[f], min(self.start[f] + k + 1, self.start[f + 1]))
@@ -156,7 +162,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, hashes: int = 192, shard_rows: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, hashes: int = 128, shard_rows: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by ``every``, the ``k`` nearest others by cosine.
 
     Null, empty, zero vectors and those with null or non-finite components take no part, nor do rows without an id.

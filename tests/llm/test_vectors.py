@@ -82,7 +82,7 @@ def test_little_is_verified_where_vectors_have_structure():
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((80, 64))
     x = np.repeat(centres, 50, axis=0) + 0.3 * rng.standard_normal((4000, 64))
-    shard = qalsh._Shard(np.arange(4000), np.ones(4000, np.int64), x, 192, 7)
+    shard = qalsh._Shard(np.arange(4000), np.ones(4000, np.int64), x, 128, 7)
     hits = 0
     full = x / np.linalg.norm(x, axis=1)[:, None]
     for q in range(0, 4000, 50):
