@@ -21,7 +21,7 @@ import numpy as np
 #: Bytes of a chunk, and bytes before a chunk from which its likeliest entry state is found.
 CHUNK, WARM = 256, 32
 #: States beyond which the tables are emptied before the next run; and the most bytes that one run takes.
-STATES, RUN_BYTES = 200_000, 500_000
+STATES, RUN_BYTES = 400_000, 500_000
 START, NONE = 0, -1
 _EMPTY = np.int64(-1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -100,13 +100,11 @@ class Merges:
             x, until_x = self.right[x], self.made[x]
 
     def may_stand(self, a: int, b: int) -> bool:
-        if a == NONE:
-            return True
         found = self.known.get((a, b))
         if found is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            found = self.known[a, b] = not self._overtaken(a, b, 2**31)
+            found = self.known[a, b] = a == NONE or not self._overtaken(a, b, 2**31)
         return found
 
 
@@ -115,20 +113,20 @@ class CountTransducer:
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node
-        self.token = [NONE]  # of each node
-        self.inner = [True]  # whether a node has children
-        for token, text in merges.text.items():
+        child: dict[int, int] = {}  # node * 256 + byte -> node
+        token, inner = [NONE], [True]  # of each node: the token that it is, whether it has children
+        for own, text in merges.text.items():
             node = 0
             for byte in text:
                 at = node << 8 | byte
-                if at not in self.child:
-                    self.child[at] = len(self.token)
-                    self.token.append(NONE)
-                    self.inner.append(False)
-                    self.inner[node] = True
-                node = self.child[at]
-            self.token[node] = token
+                if at not in child:
+                    child[at] = len(token)
+                    token.append(NONE)
+                    inner.append(False)
+                    inner[node] = True
+                node = child[at]
+            token[node] = own
+        self.child = {at: (node << 8, token[node], inner[node]) for at, node in child.items()}
         self.length = np.zeros(max(merges.text) + 1, np.int64)
         for token, text in merges.text.items():
             self.length[token] = len(text)
@@ -155,16 +153,21 @@ class CountTransducer:
     def _transition(self, state: int, byte: int) -> tuple[int, int, int]:
         """The state behind a byte, the growth of the count and the token that ends there: items are tried longest first, one fits."""
         found, grown, after = NONE, 0, []
-        child, token = self.child, self.token
-        for node, before, count in self.states[state]:
-            node = child.get(node << 8 | byte, 0)
-            if node:
-                if found == NONE and token[node] != NONE and self.merges.may_stand(before, token[node]):
-                    found, grown = token[node], count + 1
-                if self.inner[node]:
+        child, known = self.child.get, self.merges.known.get
+        for node, before, count in self.states[state]:  # nodes are kept times 256
+            step = child(node | byte)
+            if step is not None:
+                node, token, inner = step
+                if found == NONE and token != NONE:
+                    fits = known((before, token))
+                    if self.merges.may_stand(before, token) if fits is None else fits:
+                        found, grown = token, count + 1
+                if inner:
                     after.append((node, before, count))
-        after.append((0, self.merges.alike[found], grown))
-        return self.intern(tuple([(node, before, count - grown) for node, before, count in after]) if grown else tuple(after)), grown, found
+        if grown:
+            after = [(node, before, count - grown) for node, before, count in after]
+        after.append((0, self.merges.alike[found], 0))
+        return self.intern(tuple(after)), grown, found
 
     def _slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key in the tables, and the indices of keys that have none."""
@@ -210,9 +213,10 @@ class CountTransducer:
 
     def walk(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exit states and emitted counts of the spans of ``raw``, side by side; ``kept`` gets the token that ends at every byte."""
-        by = np.argsort(-size, kind="stable")
+        most = int(size.max(initial=0))
+        by = np.argsort((most - size).astype(np.uint16 if most < 2**16 else np.int64), kind="stable")  # a radix sort where numbers are small
         at, state, count = start[by], entry[by].astype(np.int64), np.zeros(len(by), np.int64)
-        active = np.searchsorted(-size[by], -np.arange(int(size.max(initial=0))), "left").tolist()
+        active = np.searchsorted(-size[by], -np.arange(most), "left").tolist()
         for k, m in enumerate(active):  # the first m spans have a byte k
             place = at[:m] + k
             slot = self.step(state[:m], raw[place])

@@ -170,7 +170,7 @@ class Encoder:
             classes = self.of[cp]
         # an end mark after every text
         bounds = np.searchsorted(at, off[1:])
-        place = np.arange(len(at)) + np.searchsorted(bounds, np.arange(len(at)), "right")
+        place = np.arange(len(at)) + np.repeat(np.arange(len(bounds)), np.diff(bounds, prepend=0))
         seq = np.full(len(at) + len(bounds), END, np.uint8)
         seq[place] = classes
         emit = run(seq)
