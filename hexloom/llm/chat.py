@@ -12,8 +12,8 @@ for the rest stands in a window with the system turn alone, whatever its length;
 budget is not repeated but stands in the first window only. Real counts can be given as a column instead.
 
 Prefix sums are taken in two levels (blocks of turns, then turns inside a block), so one conversation with a third of all rows
-is many small windows. Texts move twice: to their block and to their windows; all that is worked out between is joined
-to the blocks as numbers.
+is many small windows. Texts move twice: to their block and to their windows; all that is worked out between are numbers, written
+to the shared folder so that no step is planned or run again for the next, and joined to the blocks at the end.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles every control string gets a backslash after its
 first character, and one more where it had some, which is undone exactly.
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexloom.llm.common import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 # fixed values: control strings of common chat templates, without their first character
 _CONTROL = r"\|im_start\|>|\|im_end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>"
@@ -63,6 +65,7 @@ def windows(turns: DataFrame, budget: int = 4096, history: int = 1024, block: in
     w = Window.partitionBy(*place).orderBy("turn", "role", "text")
     t = t.repartition(*place).withColumn("pos", F.row_number().over(w) - 1).withColumn("upto", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     n = t.select(*place, "pos", "tokens", "upto", (F.col("role") == "system").alias("system"))
+    n = written(n, "turns")
     # the blocks' sums, and the first turn of the conversation
     head = F.max(F.when(F.col("pos") == 0, F.struct("tokens", "system")))
     sums = n.groupBy(*place).agg(F.sum("tokens").alias("all"), F.count("*").alias("many"), head.alias("head"))
@@ -73,12 +76,14 @@ def windows(turns: DataFrame, budget: int = 4096, history: int = 1024, block: in
     # the system turn stands in every window, so its tokens leave the budget
     n = n.withColumn("room", F.lit(budget - history) - F.coalesce("repeated", F.lit(0))).withColumn("cell", F.floor(F.col("before") / F.col("room")))
     n = n.withColumn("across", F.col("before") + F.col("tokens") > (F.col("cell") + 1) * F.col("room"))
+    n = n.withColumn("goal", F.when(F.col("across"), F.floor((F.col("before") + F.col("tokens") - 1) / F.col("room"))).otherwise(F.col("cell")))
+    n = written(n.select(*place, "pos", "idx", "tokens", "before", "room", "repeated", "cell", "across", "goal"), "cells")
     # sum of the turns inside each cell, and of the turn that enters it
     cells = n.groupBy("key", "cell").agg(F.sum(F.when(~F.col("across"), F.col("tokens")).otherwise(0)).alias("inside")).withColumnRenamed("cell", "goal")
-    n = n.withColumn("goal", F.when(F.col("across"), F.floor((F.col("before") + F.col("tokens") - 1) / F.col("room"))).otherwise(F.col("cell")))
     n = n.join(cells, ["key", "goal"], "left")
     joins = ~F.col("across") | ((F.col("goal") == F.col("cell") + 1) & (F.col("tokens") + F.coalesce("inside", F.lit(0)) <= F.col("room")))
     n = n.withColumn("window", F.when(joins, 2 * F.col("goal")).otherwise(2 * F.col("cell") + 1))  # lone turns have odd numbers
+    n = written(n.select(*place, "pos", "idx", "tokens", "before", "room", "repeated", "window"), "windows")
     # the token at which each span ends, and the span that follows
     spans = n.groupBy("key", "window").agg(F.max(F.col("before") + F.col("tokens")).alias("span_end"), F.max(F.col("tokens") > F.col("room")).alias("wide"))
     w = Window.partitionBy("key").orderBy("window")

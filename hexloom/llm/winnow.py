@@ -88,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_ranges(docs: DataFrame, per_partition: int = 4) -> DataFrame:
-    """(doc_id, text, tie, part, guest): rows dealt to ranges in descending order of (doc_id, tie), tie a hash of the text.
+    """(doc_id, text, tie, part, guest, slot): rows dealt to ranges in descending order of (doc_id, tie), tie a hash of the text.
 
     Ranges of ids, from quantiles of all ids, are the unit; an id that fills several ranges (or rows without an id) is cut further by
     tie. The first row of each range is a guest of the range before it, so that there every row has its next one: no window holds all
@@ -110,7 +110,7 @@ def in_ranges(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     own = own.withColumn("part", F.size(F.filter(listed, lambda c: c <= key)))
     heads = sorted((r[0], r[1]["doc_id"], r[1]["tie"]) for r in own.groupBy("part").agg(F.max(key)).collect())  # a row for each range
     if not heads:
-        return own.withColumn("guest", F.lit(False))
+        return own.withColumn("guest", F.lit(False)).withColumn("slot", F.lit(0))
     after = {p: heads[k - 1][0] for k, (p, *_) in enumerate(heads)}  # descending order: the range below comes next
     host = {nxt: p for p, nxt in after.items()}  # a range's head is a guest of the range above
     pairs = [x for p, *top in heads for x in (F.lit(p), F.struct(struct(*top).alias("top"), F.lit(host[p]).alias("host")))]
@@ -118,7 +118,9 @@ def in_ranges(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     stays = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
     visits = F.array(F.struct(home["host"].alias("part"), F.lit(True).alias("guest")))
     dealt = own.withColumn("at", F.explode(F.when(key.eqNullSafe(home["top"]), F.concat(stays, visits)).otherwise(stays)))
-    return dealt.select("doc_id", "text", "tie", "at.part", "at.guest").repartition(parallelism(spark), "part")
+    slots = parallelism(spark)
+    dealt = dealt.select("doc_id", "text", "tie", "at.part", "at.guest").withColumn("slot", F.pmod("part", F.lit(slots)).cast("int"))
+    return dealt.repartitionById(slots, "slot")  # as many ranges to each task
 
 
 def fingerprints(docs: DataFrame, k: int = 3, w: int = 6) -> DataFrame:
@@ -133,7 +135,7 @@ def fingerprints(docs: DataFrame, k: int = 3, w: int = 6) -> DataFrame:
     d = in_ranges(docs).withColumn("own", winnow(F.col("text"), k, w)).withColumn("own_c", short_winnow(F.col("text")))
     every = lambda name: hashes_of(F.concat(name, f"{name}_c"))
     d = d.withColumn("own_set", every("own"))
-    order = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"), "text")
+    order = Window.partitionBy("slot", "part").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"), "text")
     d = d.withColumn("next_text", F.lead("text").over(order)).withColumn("next_set", F.lead("own_set").over(order)).where(~F.col("guest"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
