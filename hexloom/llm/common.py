@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised kernels; one longer text is handled alone, whole.
 PIECE_BYTES = 500_000
+#: Growth since the last time at which a worker's allocators are asked to give back what they keep.
+KEPT_BYTES = 16_000_000
+_resident = 0
+_caches: list[Callable] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -53,6 +61,75 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system where the process has grown by ``KEPT_BYTES`` since the last time.
+
+    Workers are used again by later tasks and stages and lie idle meanwhile; NumPy's and Arrow's allocators keep what was freed.
+    """
+    global _resident
+    try:
+        with open("/proc/self/statm") as f:
+            resident = lambda: f.seek(0) or int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE")
+            if resident() <= _resident + KEPT_BYTES:
+                return
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+            _resident = resident()
+    except (OSError, AttributeError):  # another system or C library
+        pa.default_memory_pool().release_unused()
+
+
+def cached(function: Callable) -> Callable:
+    """Results of ``function``, large tables, kept in this process for tasks to come; :func:`thrifty` functions that have no use for them let them go."""
+    own = functools.lru_cache(maxsize=2)(function)
+    _caches.append(own)
+    return own
+
+
+def let_go() -> None:
+    """Empties what :func:`cached` holds in this process."""
+    global _resident
+    if any(c.cache_info().currsize for c in _caches):
+        for c in _caches:
+            c.cache_clear()
+        gc.collect()
+        _resident = 0
+        give_back()
+
+
+def thrifty(function: Callable, keep: bool = False) -> Callable:
+    """``function`` of batches, of a group or of two groups, for a Python worker that gives back freed memory at its end.
+
+    Unless ``keep`` is set, tables that earlier stages left in the worker are let go before.
+    """
+    before = (lambda: None) if keep else let_go
+    if inspect.isgeneratorfunction(function):
+
+        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before()
+            yield from function(batches)
+            give_back()
+
+        return of_batches
+    if len(inspect.signature(function).parameters) == 1:
+
+        def of_group(table: pa.Table) -> pa.Table:
+            before()
+            out = function(table)
+            give_back()
+            return out
+
+        return of_group
+
+    def of_two(left: pa.Table, right: pa.Table) -> pa.Table:
+        before()
+        out = function(left, right)
+        give_back()
+        return out
+
+    return of_two
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import PIECE_BYTES, buffers, components, mix, parallelism, release, shared_folder, span_hashes, written
+from hexloom.llm.common import PIECE_BYTES, buffers, components, mix, parallelism, release, shared_folder, span_hashes, thrifty, written
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -241,15 +241,15 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_
             shared.append(found and found[1])
         return pa.table([g.ids, left.column("text_hash"), pa.array(n, pa.int32()), pa.array(g.digest, pa.binary()), pa.array(k, pa.int32()), pa.array(shared, pa.binary())], ["doc_id", "text_hash", "n", "digest", "k", "shared"])
 
-    sent = own.groupBy("gid").applyInArrow(request, "gid int, part int, codes binary, counts binary")
+    sent = own.groupBy("gid").applyInArrow(thrifty(request), "gid int, part int, codes binary, counts binary")
     if within == 1:
-        back = sent.groupBy("part").applyInArrow(count, "gid int, part int, classes binary")
+        back = sent.groupBy("part").applyInArrow(thrifty(count), "gid int, part int, classes binary")
     else:
         sent = written(sent.withColumn("many", F.floor(F.col("gid") / fan).cast("int")), "hashes")
-        merged = sent.groupBy("many", "part").applyInArrow(pass_on, "many int, part int, sub int, codes binary, counts binary")
-        within_back = merged.groupBy("part", "sub").applyInArrow(count_within, "many int, part int, sub int, classes binary")
-        back = sent.groupBy("many", "part").cogroup(within_back.groupBy("many", "part")).applyInArrow(pass_back, "gid int, part int, classes binary")
-    return own.groupBy("gid").cogroup(back.groupBy("gid")).applyInArrow(reply, _SETS)
+        merged = sent.groupBy("many", "part").applyInArrow(thrifty(pass_on), "many int, part int, sub int, codes binary, counts binary")
+        within_back = merged.groupBy("part", "sub").applyInArrow(thrifty(count_within), "many int, part int, sub int, classes binary")
+        back = sent.groupBy("many", "part").cogroup(within_back.groupBy("many", "part")).applyInArrow(thrifty(pass_back), "gid int, part int, classes binary")
+    return own.groupBy("gid").cogroup(back.groupBy("gid")).applyInArrow(thrifty(reply), _SETS)
 
 
 def _to_sets(family: DataFrame) -> DataFrame:
@@ -285,8 +285,8 @@ def candidate_families(sets: DataFrame, under: str | None = None) -> DataFrame:
         links = np.unique(np.concatenate([links, join("links", np.int64).reshape(-1, 2)]), axis=0)
         return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
-    found = sets.where("shared is not null").select(_label().alias("v"), "k", "shared").mapInArrow(local, "part int, token binary, v binary, links binary")
-    return components(found.groupBy("part").applyInArrow(meet, "a long, b long"), "families", under)
+    found = sets.where("shared is not null").select(_label().alias("v"), "k", "shared").mapInArrow(thrifty(local), "part int, token binary, v binary, links binary")
+    return components(found.groupBy("part").applyInArrow(thrifty(meet), "a long, b long"), "families", under)
 
 
 def _least(token: np.ndarray, v: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -466,7 +466,7 @@ def _links_of(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     dealt = members.repartition(parallelism(members.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "digest", "n", "shared", "known", "probe").mapInArrow(links, "a binary, b binary")
+    return dealt.select(*keys, "digest", "n", "shared", "known", "probe").mapInArrow(thrifty(links), "a binary, b binary")
 
 
 def _counted_links(members: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -491,7 +491,7 @@ def _counted_links(members: DataFrame, percent: int, chunk: int) -> DataFrame:
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     keys = ["root", "i", "j"]
     dealt = dealt.repartition(parallelism(members.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "digest", "n", "shared", "k", "copies", "block").mapInArrow(links, "a binary, b binary, n_links long")
+    return dealt.select(*keys, "digest", "n", "shared", "k", "copies", "block").mapInArrow(thrifty(links), "a binary, b binary, n_links long")
 
 
 def similarity_links(docs: DataFrame, words: int = 5, percent: int = 75, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

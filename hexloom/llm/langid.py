@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import mix, parallelism, pieces, release, shared_folder, written
+from hexloom.llm.common import mix, parallelism, pieces, release, shared_folder, thrifty, written
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, per_language: int = 300, common: float = 0.02) -> L
                     lang, gram = both >> np.uint64(43), both & np.uint64((1 << 43) - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(names[lang.astype(int)].tolist(), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    found = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = sample.select("lang", "text").mapInArrow(thrifty(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     fitted = sample.groupBy("lang").agg(F.count("*").alias("of"))
     table = found.join(fitted, "lang").where(F.col("n") >= F.greatest(F.lit(2), F.col("of") * common)).select("lang", "gram").toPandas()  # bounded by the sample
     languages = sorted(table["lang"].unique())
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, per_language: int = 300, common: float = 0.02) -> L
                 own = [float(share[k, languages.index(langs[a + k])]) for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(langs[a:b], pa.string()), pa.array(own, pa.float64())], ["lang", "share"])
 
-    means = {r[0]: r[1] for r in sample.select("lang", "text").mapInArrow(usual, "lang string, share double").groupBy("lang").agg(F.expr("percentile_approx(share, 0.5)")).collect()}
+    means = {r[0]: r[1] for r in sample.select("lang", "text").mapInArrow(thrifty(usual), "lang string, share double").groupBy("lang").agg(F.expr("percentile_approx(share, 0.5)")).collect()}
     release(labelled.sparkSession, folder)
     model.usual = np.array([max(means.get(x) or 1.0, 1e-6) for x in languages])
     return model
@@ -149,7 +149,6 @@ def predict(docs: DataFrame, model: LanguageFilter, columns: list[str], text_col
     def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            pred, score = [np.zeros(0, object)], [np.zeros(0)]
             letters = batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)
             for a, b, raw, off in pieces(batch.column(len(columns))):
                 if model.languages:
@@ -160,11 +159,10 @@ def predict(docs: DataFrame, model: LanguageFilter, columns: list[str], text_col
                 else:
                     best, s = np.full(b - a, -1), np.zeros(b - a)
                 best, s = np.where(letters[a:b], best, -1), np.where(letters[a:b], s, 0.0)
-                pred.append(names[best])
-                score.append(s)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(np.concatenate(pred).tolist(), pa.string()), pa.array(np.concatenate(score), pa.float64())], [*columns, "lang_pred", "score"])
+                own = (batch.column(k).slice(a, b - a) for k in range(len(columns)))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names[best].tolist(), pa.string()), pa.array(s, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return own.mapInArrow(say, schema)
+    return own.mapInArrow(thrifty(say), schema)
 
 
 def _third(id_col: str = "doc_id") -> F.Column:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import written
+from hexloom.llm.common import thrifty, written
 from hexloom.llm.transducer import encoder
 
 Pattern = tuple[int, list[tuple[int, int]]]
@@ -139,7 +139,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_co
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([part] * len(rows), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
+    return own.mapInArrow(thrifty(cut, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,4 +182,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sequence + inside // each), pa.array(offset + inside % each * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = cut.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(thrifty(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -14,7 +14,6 @@ text first, as the library has it. Vocabularies that are not byte-level BPE are
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm.bpe import NONE, CountTransducer, Merges
-from hexloom.llm.common import pieces
+from hexloom.llm.common import cached, pieces
 
 LETTER, L_L, L_E, L_RV, L_ONE, NUMBER, OTHER, APOS, SPACE, WHITE, END = range(11)
 STATES = (START, IN_L, IN_N, IN_O, APO, APO_RV, APO_L, DONE, W1S, W1W, W2S, W2W) = range(12)
@@ -252,7 +251,7 @@ class Library:
         return np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, _, at in self.encode(column))])
 
 
-@functools.lru_cache(maxsize=2)
+@cached
 def encoder(path: str) -> Encoder | Library:
     """One for each worker process and vocabulary."""
     return Encoder(path) if Encoder.fits(path) else Library(path)

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 from test_text import classes_by_force
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from hexloom.llm import queries
+from hexloom.llm import langid, packing, queries
 
 
 def test_all_are_registered():
@@ -127,3 +129,19 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(("null" if r.doc_id is None else str(r.doc_id)) for r in got) == ["1", "3", "4", "4", "5", "7", "null"]
+
+
+def test_workers_let_tables_go(spark, data):
+    """Python workers, used again by later stages, don't hold the tokenizer's tables any more once a stage has no use for them."""
+    held = lambda: sum(p.memory_info().rss for p in psutil.Process().children(recursive=True) if "pyspark.daemon" in " ".join(p.cmdline()))
+    docs = spark.read.parquet(f"{data}/documents.parquet").coalesce(1)
+    model = langid.LanguageFilter(["a"], {"a": np.arange(1000, dtype=np.uint64)})
+
+    def sizes():
+        for _ in range(16):  # every idle worker has its turn
+            langid.predict(docs, model, ["doc_id", "text"]).write.format("noop").mode("overwrite").save()
+        return held()
+
+    before = sizes()
+    packing.pieces_of(docs, queries.vocabulary(), 2, 1024).write.format("noop").mode("overwrite").save()
+    assert sizes() - before < 30e6
